@@ -24,13 +24,13 @@ REPEAT_WORDS = 8
 KEEP_POSTERIOR = 0.5
 EM_ROUNDS = 40
 #: Bounds of the share of good documents and of the evidence (log odds) of one vote, so that no rule is ever certain.
-PRIOR = (0.02, 0.98)
+PRIOR = (0.02, 0.95)
 MOST_EVIDENCE = 6.0
 #: Rates of good (1) and bad (-1) votes expected in good and in bad documents before any is seen, and how much that belief
 #: weighs, as a share of the documents: a common kind of junk that only one rule sees must not pass for good.
-EXPECTED = {1: (0.9, 0.7), -1: (0.005, 0.25)}
+EXPECTED = {1: (0.9, 0.8), -1: (0.002, 0.3)}
 PRIOR_STRENGTH = 0.3
-RULES = ("length", "word_length", "symbols", "capitals", "lines", "repeats")
+RULES = ("length", "word_length", "symbols", "marks", "capitals", "lines", "repeats")
 
 
 def text_features(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
@@ -47,6 +47,7 @@ def text_features(docs: DataFrame, text: str = "text", prefix: str = "") -> Data
             f"{p}words": F.array_remove(F.split(f"{p}t", WORD_SPACE), ""),
             f"{p}lines": F.expr(rf"filter(split({c('t')}, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"),
             f"{p}n_symbols": (F.length(f"{p}t") - F.length(F.regexp_replace(f"{p}t", r"[#*$%&|<>]+", ""))).cast("long"),
+            f"{p}n_marks": (F.length(f"{p}t") - F.length(F.regexp_replace(f"{p}t", r"[!-@\[-`{-~]+", ""))).cast("long"),
             f"{p}n_upper": F.length(F.regexp_replace(f"{p}t", r"\P{Lu}+", "")).cast("long"),
         }
     )
@@ -101,7 +102,8 @@ def text_features(docs: DataFrame, text: str = "text", prefix: str = "") -> Data
             f"(a, b) -> least({REPEAT_WORDS}, b - a)), 0L, (acc, v) -> acc + v))"
         ),
     )
-    return df.drop(f"{p}words", f"{p}bits", f"{p}sorted", f"{p}same", f"{p}starts")
+    # A row number is not deterministic, so no filter above is pushed below it, where every nested feature would be computed again.
+    return df.drop(f"{p}words", f"{p}bits", f"{p}sorted", f"{p}same", f"{p}starts").withColumn(f"{p}row", F.monotonically_increasing_id())
 
 
 def vote(good: Column, bad: Column) -> Column:
@@ -119,8 +121,9 @@ def rule_votes(prefix: str = "") -> dict[str, Column]:
         "length": vote(v("n_words") >= 50, v("n_words") < MIN_WORDS),
         "word_length": vote(mean.between(3.0, 10.0), (mean < 2.0) | (mean > 15.0)),
         "symbols": vote(share("n_symbols", "n_words") < 0.02, share("n_symbols", "n_words") > 0.1),
+        "marks": vote(share("n_marks", "word_chars") < 0.06, share("n_marks", "word_chars") > 0.115),
         "capitals": vote(share("n_upper", "word_chars") < 0.15, share("n_upper", "word_chars") > 0.3),
-        "lines": vote((v("n_dup_lines") == 0) & enough, share("n_dup_lines", "n_lines") > 0.3),
+        "lines": vote((v("n_dup_lines") == 0) & enough, share("n_dup_lines", "n_lines") > 0.5),
         "repeats": vote(share("n_repeat_words", "n_words") < 0.1, share("n_repeat_words", "n_words") > 0.3),
     }
 
@@ -148,7 +151,7 @@ def fit_votes(patterns: Sequence[tuple[Sequence[int], int]], rules: Sequence[str
     """
     total = sum(n for _, n in patterns)
     strength = PRIOR_STRENGTH * total
-    guess = [0.1 if min(votes, default=0) < 0 else 0.95 for votes, _ in patterns]
+    guess = [0.02 if min(votes, default=0) < 0 else 0.98 for votes, _ in patterns]
     model = VoteModel(dict.fromkeys(rules, (0.2, -4.0)), 0.8)
     for _ in range(rounds if total else 0):
         good = sum(n * p for (_, n), p in zip(patterns, guess, strict=True))
@@ -170,9 +173,9 @@ def fit_votes(patterns: Sequence[tuple[Sequence[int], int]], rules: Sequence[str
 
 
 def fit_vote_model(featured: DataFrame, prefix: str = "") -> VoteModel:
-    """Fit on all rows of ``featured``; the driver gets the pattern counts only (at most 3 ** rules rows)."""
+    """Fit on all rows of ``featured`` that the base rules leave open; the driver gets the pattern counts only (at most 3 ** rules rows)."""
     votes = rule_votes(prefix)
-    rows = featured.select(*[c.alias(k) for k, c in votes.items()]).groupBy(*votes).count().collect()
+    rows = featured.where(~base_failed(prefix)).select(*[c.alias(k) for k, c in votes.items()]).groupBy(*votes).count().collect()
     return fit_votes(sorted((tuple(r[k] for k in votes), r["count"]) for r in rows), tuple(votes))
 
 
@@ -209,12 +212,11 @@ def score_quality(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose documents are kept, with their columns unchanged.
 
-    The features are computed in the rows, so no key is needed and repeated ids cannot mix; the model is fitted in one pass
-    and applied in a second."""
+    The features stay in the rows, written once with them, so no key is needed and repeated ids cannot mix."""
     p = "_vf_"
-    featured = text_features(docs, text, prefix=p)
+    featured = materialize(text_features(docs, text, prefix=p), "quality")
     model = fit_vote_model(featured, p)
-    return featured.where(~base_failed(p) & (model.posterior(rule_votes(p)) >= F.lit(KEEP_POSTERIOR))).select(*[docs[c] for c in docs.columns])
+    return featured.where(~base_failed(p) & (model.posterior(rule_votes(p)) >= F.lit(KEEP_POSTERIOR))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
