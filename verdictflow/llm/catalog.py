@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verdictflow.llm.bpe import op7_byte_bpe
+from verdictflow.llm.decontamination import OP4_SQL, op4_decontamination
+from verdictflow.llm.language import op10_language_id
 from verdictflow.llm.quality import op8_quality_rules
+from verdictflow.llm.secrets import op9_secret_scans
 from verdictflow.llm.sharding import op1_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op8_quality_rules)
+    found = (op1_sharding, op4_decontamination, op7_byte_bpe, op8_quality_rules, op9_secret_scans, op10_language_id)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": OP4_SQL}
