@@ -12,10 +12,11 @@ from verdictflow.llm.language import op10_language_id
 from verdictflow.llm.quality import op8_quality_rules
 from verdictflow.llm.secrets import op9_secret_scans
 from verdictflow.llm.sharding import op1_sharding
+from verdictflow.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op4_decontamination, op7_byte_bpe, op8_quality_rules, op9_secret_scans, op10_language_id)
+    found = (op1_sharding, op4_decontamination, op5_toxicity, op7_byte_bpe, op8_quality_rules, op9_secret_scans, op10_language_id)
     return {f.__name__: f for f in found}
 
 
