@@ -14,11 +14,12 @@ from verdictflow.llm.near_dedup import op6_near_dedup
 from verdictflow.llm.quality import op8_quality_rules
 from verdictflow.llm.secrets import op9_secret_scans
 from verdictflow.llm.sharding import op1_sharding
+from verdictflow.llm.substring_dedup import op2_suffix_dedup
 from verdictflow.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op3_lm_scoring, op4_decontamination, op5_toxicity, op6_near_dedup, op7_byte_bpe, op8_quality_rules, op9_secret_scans, op10_language_id)
+    found = (op1_sharding, op2_suffix_dedup, op3_lm_scoring, op4_decontamination, op5_toxicity, op6_near_dedup, op7_byte_bpe, op8_quality_rules, op9_secret_scans, op10_language_id)
     return {f.__name__: f for f in found}
 
 
