@@ -47,7 +47,7 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = words.select(
         "item_id",
         "len",
-        F.expr("explode(transform(sequence(0, size(exact) - len), i -> struct(slice(exact, i + 1, len) as words, slice(loose, i + 1, len) as loose)))").alias("w"),
+        F.expr("explode_outer(transform(sequence(0, size(exact) - len), i -> struct(slice(exact, i + 1, len) as words, slice(loose, i + 1, len) as loose)))").alias("w"),
     )
     chosen: Column = F.lit(None).cast("long")
     for n in range(1, window + 1):
@@ -72,8 +72,9 @@ def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
     for n in lengths:
         ahead = ", ".join([str(n), "x", *[f"get(w, i + {k})" for k in range(1, n)]])
         arrays.append(f"transform(slice(w, 1, greatest(size(w) - {n - 1}, 0)), (x, i) -> struct({n} as len, cast(i as int) as pos, xxhash64({ahead}) as hash))")
+    # The outer form: for the inner one Spark infers a filter on the array, pushes it below ``w`` and cuts the text anew for every word.
     head = "array(struct(0 as len, -1 as pos, cast(null as bigint) as hash))"
-    scan = words.select("doc_id", "row", "text", F.size("w").alias("n_words"), F.expr(f"inline(concat({', '.join([head, *arrays])}))"))
+    scan = words.select("doc_id", "row", "text", F.size("w").alias("n_words"), F.expr(f"inline_outer(concat({', '.join([head, *arrays])}))"))
     joined = scan.join(distinct.withColumnsRenamed({"len": "w_len", "hash": "w_hash"}), (F.col("hash") == F.col("w_hash")) & (F.col("len") == F.col("w_len")), "left")
     joined = joined.where((F.col("pos") < 0) | (F.col("window_id").isNotNull() & (F.slice(exact_words(F.col("text")), F.col("pos") + 1, F.col("len")) == F.col("words"))))
     return joined.select("row", "doc_id", "n_words", "pos", "len", "window_id"), windows.select("window_id", "item_id").distinct()
