@@ -166,7 +166,8 @@ def parse_options(c: Column) -> Column:
 
 
 def nli_label(c: Column) -> Column:
-    return F.least(F.greatest(c.try_cast("int"), F.lit(0)), F.lit(2))
+    n = c.try_cast("int")
+    return F.when(n.isNotNull(), F.least(F.greatest(n, F.lit(0)), F.lit(2)))
 
 
 def score_with(rows: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series], text: str, options: str) -> DataFrame:

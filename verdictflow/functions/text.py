@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns of words and numbers, of masked log parts, and of identifiers.
 TOKEN = r"[a-z]+|-?[0-9]+(?:\.[0-9]+)?"
@@ -115,7 +116,7 @@ def pair_key(c: Column) -> Column:
     return F.substring(F.sha1(c.cast("binary")), 1, 12)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def exact_question_key(state: pd.Series, question: pd.Series) -> pd.Series:
     """Byte-exact 96-bit blake2b key over canonical JSON with the usual separators and ASCII escapes."""
 
@@ -129,7 +130,7 @@ def exact_question_key(state: pd.Series, question: pd.Series) -> pd.Series:
     return pd.Series([key(a, b) for a, b in zip(state, question, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def flat_english(state: pd.Series) -> pd.Series:
     """Nested JSON states in English: ``path: value`` parts, at most 4 levels, 40 parts, 10 list items and 2,000 characters."""
 

@@ -119,8 +119,9 @@ def leaks_by_text(docs: DataFrame, items: DataFrame) -> DataFrame:
     words = F.split("t", " ")
     cut = items.withColumn("w", words).select("item_id", F.col("t").alias("item"), F.array_join(F.slice("w", 1, 3), " ").alias("head"), F.size("w").alias("n")).where("item <> ''")
     long, short = cut.where("n >= 3"), cut.where("n < 3")
+    # The outer form: for the inner one Spark would infer a filter that splits the text anew for every window.
     windows = docs.withColumn("w", words).select(
-        "doc_id", F.explode(F.array_distinct(F.expr("transform(sequence(0, greatest(size(w) - 3, 0)), i -> array_join(slice(w, i + 1, 3), ' '))"))).alias("head")
+        "doc_id", F.explode_outer(F.array_distinct(F.expr("transform(sequence(0, greatest(size(w) - 3, 0)), i -> array_join(slice(w, i + 1, 3), ' '))"))).alias("head")
     )
     pairs = windows.join(long.select("item_id", "head"), "head").select("doc_id", "item_id").distinct()
     found = pairs.join(docs.select("doc_id", "t"), "doc_id").join(long.select("item_id", "item"), "item_id").where(F.contains("t", "item")).select("doc_id", "item_id")

@@ -142,7 +142,7 @@ bank_hours 9 16
 quiet_hours 22 24
 support_hours 9 18
 """
-COMPARISONS = {">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, "<": lambda a, b: a < b}
+COMPARISONS = {">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, "<": lambda a, b: a < b, "==": lambda a, b: a == b}
 
 
 def _rows(text: str, sep: str | None = None) -> list[list[str]]:

@@ -351,7 +351,7 @@ _RULE_VALUES = ", ".join(f"('{r}', '{op}', {float(a)})" for r, _, op, a, _ in R.
 
 
 @query(
-    f"SELECT p_partkey, rule, CASE op WHEN '>=' THEN p_size >= t WHEN '<=' THEN p_size <= t WHEN '>' THEN p_size > t ELSE p_size < t END AS holds FROM part, (VALUES {_RULE_VALUES}) r(rule, op, t)"
+    f"SELECT p_partkey, rule, CASE op WHEN '>=' THEN p_size >= t WHEN '<=' THEN p_size <= t WHEN '>' THEN p_size > t WHEN '<' THEN p_size < t ELSE p_size = t END AS holds FROM part, (VALUES {_RULE_VALUES}) r(rule, op, t)"
 )
 def numeric_rule_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part's size under each of the 47 rules."""
