@@ -23,9 +23,9 @@ from verdictflow.llm.common import crc_of_id, table
 #: Documented bound of the fitted sample: examples of each label.
 EXAMPLES = 3000
 TERMS = 3000
-MIN_EXAMPLES_OF_TERM = 5
+MIN_EXAMPLES_OF_TERM = 6
 #: A term is kept if its association (chi-square with one degree of freedom) is at least this.
-MIN_ASSOCIATION = 10.83
+MIN_ASSOCIATION = 24.0
 NEIGHBOURS = 16
 BLOCK = 64
 PREFIXES = (4, 5)
