@@ -39,14 +39,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. It is the session's ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder is made and set for this session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: the session's ``spark.checkpoint.dir``, else the context's checkpoint folder. Only where
+    neither is set (local runs and tests) a temporary folder is made, one for each application."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='verdictflow-')}"
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _made:
+            _made[app] = f"file://{tempfile.mkdtemp(prefix='verdictflow-')}"
+        found = _made[app]
     return found.rstrip("/")
 
 
