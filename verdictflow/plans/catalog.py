@@ -505,7 +505,7 @@ def pick_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ANSWERS = (
-    "(SELECT l.doc_id, d.lang, toxic = 1 AS gold, (l.doc_id * 7) % 10 < 5 = (toxic = 1) AS x, CASE WHEN l.doc_id % 10 < 8 THEN toxic = 1 ELSE toxic <> 1 END AS pred, "
+    "(SELECT l.doc_id, d.lang, toxic = 1 AS gold, CASE WHEN l.doc_id % 10 < 8 THEN toxic = 1 ELSE toxic <> 1 END AS pred, "
     "CASE WHEN l.doc_id % 10 < 7 THEN toxic = 1 WHEN l.doc_id % 10 = 9 THEN toxic <> 1 END AS sure FROM labels l JOIN documents d USING (doc_id))"
 )
 
