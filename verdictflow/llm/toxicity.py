@@ -57,56 +57,46 @@ def term_counts(text: str, cache: dict[str, tuple[int, ...]] | None = None, voca
 
 @dataclass
 class BlockMaxIndex:
-    """Inverted index of unit vectors. ``starts[t]:starts[t + 1]`` are the postings of term t, by example."""
+    """Inverted index of unit vectors: for each term, the weights of the examples block by block, and the largest of each block.
+
+    ``postings[t, b]`` are the weights of term t in the examples of block b, zeros included: within the bounds of the sample (examples
+    and terms) a few dozen MB, and one block of many terms is one gather."""
 
     n_examples: int
-    starts: np.ndarray
-    examples: np.ndarray
-    weights: np.ndarray
+    postings: np.ndarray  # terms x blocks x BLOCK
     block_max: np.ndarray  # terms x blocks
 
     @classmethod
     def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> BlockMaxIndex:
-        rows = np.concatenate([np.full(len(t), i) for i, (t, _) in enumerate(vectors)] or [np.zeros(0)]).astype(np.int32)
-        terms = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int64)
-        weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)]).astype(np.float64)
-        order = np.lexsort((rows, terms))
-        rows, terms, weights = rows[order], terms[order], weights[order]
-        starts = np.searchsorted(terms, np.arange(n_terms + 1))
         blocks = -(-max(1, len(vectors)) // BLOCK)
-        block_max = np.zeros((n_terms, blocks))
-        np.maximum.at(block_max, (terms, rows // BLOCK), weights)
-        return cls(len(vectors), starts, rows, weights, block_max)
+        postings = np.zeros((n_terms, blocks * BLOCK), np.float32)
+        for i, (t, w) in enumerate(vectors):
+            postings[t, i] = w
+        postings = postings.reshape(n_terms, blocks, BLOCK)
+        return cls(len(vectors), postings, postings.max(axis=2))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest by exact cosine, nearest first; equal cosines by example number.
 
         Only examples that share a term with the query (cosine above 0) are returned."""
-        bounds = weights @ self.block_max[terms]
+        w = weights.astype(np.float32)
+        bounds = w @ self.block_max[terms]
         order = np.argsort(-bounds, kind="stable")
         best = np.zeros(0, np.int64)
-        cosines = np.zeros(0)
-        postings = [(self.examples[self.starts[t] : self.starts[t + 1]], self.weights[self.starts[t] : self.starts[t + 1]], w) for t, w in zip(terms.tolist(), weights.tolist(), strict=True)]
-        at, step = 0, 1
-        while at < len(order) and bounds[order[at]] > 0 and (len(best) < k or bounds[order[at]] >= cosines[-1]):
+        cosines = np.zeros(0, np.float32)
+        at, step = 0, 8
+        # A block whose bound is below the k-th best (less rounding) holds nothing nearer.
+        while at < len(order) and bounds[order[at]] > 0 and (len(best) < k or bounds[order[at]] >= cosines[-1] - 1e-5):
             chosen = order[at : at + step]  # more blocks each time: few steps even where the bounds are loose
             at += step
             step *= 2
-            score = np.zeros(self.n_examples)
-            for b in np.sort(chosen).tolist() if len(chosen) < len(order) // 4 else [None]:
-                for ex, wt, w in postings:
-                    lo, hi = (0, len(ex)) if b is None else np.searchsorted(ex, (b * BLOCK, (b + 1) * BLOCK))
-                    if hi > lo:
-                        score[ex[lo:hi]] += wt[lo:hi] * w
-            inside = np.zeros(len(order), bool)
-            inside[chosen] = True
-            found = np.flatnonzero(score)
-            found = found[inside[found // BLOCK]]
-            best = np.concatenate([best, found])
-            cosines = np.concatenate([cosines, score[found]])
-            keep = np.lexsort((best, -np.round(cosines, 12)))[:k]
+            score = np.tensordot(w, self.postings[terms[:, None], chosen[None, :]], axes=1)
+            row, column = np.nonzero(score)
+            best = np.concatenate([best, chosen[row] * BLOCK + column])
+            cosines = np.concatenate([cosines, score[row, column]])
+            keep = np.lexsort((best, -np.round(cosines, 5)))[:k]
             best, cosines = best[keep], cosines[keep]
-        return best, cosines
+        return best, cosines.astype(np.float64)
 
 
 @dataclass
