@@ -306,6 +306,40 @@ def test_near_duplicates_against_brute_force(spark):
     assert dict(zip(out["doc_id"], out["class_id"], strict=True)) == {i: find(i) for i in range(len(data))}
 
 
+def look_alikes(families: int = 6, decoys: int = 40):
+    """Families of two near copies (similarity 0.8165), each of them amid texts just under the limit (0.796) to it."""
+    data, pairs = [], []
+    for f in range(families):
+        rng = random.Random(1000 + f)
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        changed = lambda words, at: [f"x{rng.randrange(10**9)}" if i in at else w for i, w in enumerate(words)]
+        places = lambda n: {rng.randrange(50) % 38 + 4 + 40 * (i % 9) for i in rng.sample(range(9), n)}
+        x = base
+        y = changed(base, places(8))
+        pairs.append((len(data), len(data) + 1))
+        data += [x, y, *[changed(w, places(9)) for w in (x, y) for _ in range(decoys)]]
+    return [(i, " ".join(w)) for i, w in enumerate(data)], pairs
+
+
+def brute_classes(data):
+    s = [near_dedup.shingles(near_dedup.word_keys(t)) for _, t in data]
+    root = list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if near_dedup.similarity_of(s[i], s[j]) >= 0.8 and root[i] != root[j]:
+                a, b = max(root[i], root[j]), min(root[i], root[j])
+                root = [b if r == a else r for r in root]
+    return root
+
+
+def test_near_duplicates_amid_look_alikes(spark):
+    data, pairs = look_alikes()
+    want = brute_classes(data)
+    assert all(want[a] == want[b] for a, b in pairs)
+    out = near_dedup.classify_documents(spark.createDataFrame(data, "doc_id long, text string")).toPandas()
+    assert out.set_index("doc_id")["class_id"].sort_index().tolist() == want
+
+
 def test_alignment_keeps_order():
     a = near_dedup.shingles(near_dedup.word_keys(prose(1, 400)))
     w = prose(1, 400).split()

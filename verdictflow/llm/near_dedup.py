@@ -10,8 +10,9 @@ more. Links join into classes.
 
 No bucket is expanded into pairs. Each bucket has one leader, chosen by hash and so another one in every bucket; its other members are
 compared with the leader only. A round takes a third of the buckets; what is linked by then is one class, and the next round compares
-only members of other classes than the leader's. Then every text outside a bucket's largest class is compared with the ``PARTNERS``
-members of other classes that share most sketches with it, each round in another quarter of the buckets.
+only members of other classes than the leader's. Buckets that still hold several classes then go through exact prefix filtering: every text
+outside a bucket's largest class meets all members of other classes that it can be similar to, so no pair with a common sketch is left
+open. That happens within the group of a bucket, and pairs are compared in the bucket of their first common sketch only.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A sketch of a pair at similarity 0.8 agrees with probability 0.8**3 = 0.51; 24 of them all fail with 3e-8.
 TAKE, SKETCHES = 3, 24
-#: Rounds with leaders and with partners (each over another share of the buckets), partners of a text in a bucket, and texts of
-#: one group when partners are chosen (larger buckets are split by the texts' first sketch, which a similar pair shares as often as any).
-LEADER_ROUNDS, PARTNER_ROUNDS, PARTNERS, GROUP = 3, 4, 4, 4000
+#: Rounds with leaders (each over another share of the buckets), and texts of one group when the rest is linked (larger buckets are
+#: split by the texts' first sketches, which a similar pair shares as often as any).
+LEADER_ROUNDS, GROUP = 3, 4000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = np.array([xxhash.xxh3_64_intdigest(f"sketch {k}".encode()) for k in range(SKETCHES)], np.uint64)
 
@@ -150,24 +151,44 @@ def shingle_texts(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "key binary, s binary, sig binary")
 
 
-def likely_partners(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (u, v) of one bucket: each text outside its largest class, and the texts of other classes that share most sketches."""
-    keys = group["key"].to_numpy()
+def prefixes(members: list[np.ndarray], similarity: float) -> list[np.ndarray]:
+    """The rarest shingles of each text, as numbers in one order for all: so many that two texts of this similarity share one."""
+    _, number, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    cuts = np.cumsum([len(m) for m in members])[:-1]
+    return [np.sort(r)[: len(r) - int(np.ceil(similarity * len(r) - 1e-9)) + 1] for r in np.split(rank[number], cuts)]
+
+
+def link_bucket(group: pd.DataFrame, similarity: float = SIMILARITY) -> pd.DataFrame:
+    """Links (u, v) between the classes of one bucket: texts outside its largest class (``rest``) against all others, without a limit.
+
+    Pairs are left out only where they cannot matter: of one class by now, of lengths or rarest shingles that rule out the similarity
+    (prefix filtering, exact), or with an earlier sketch in common, in whose bucket they are compared."""
+    keys, rest = group["key"].to_numpy(), group["rest"].to_numpy(bool)
+    members = [np.frombuffer(x, np.uint64) for x in group["s"]]
+    sizes = np.array([len(m) for m in members])
     sig = np.frombuffer(b"".join(group["sig"]), np.uint64).reshape(len(group), SKETCHES)
+    k = int(np.flatnonzero(sig[0].view(np.int64) == group["band"].iloc[0])[0])
     _, code = np.unique(np.array([r.hex() for r in group["root"]]), return_inverse=True)
-    rest = np.flatnonzero(code != np.bincount(code).argmax())
-    k = min(PARTNERS, len(group) - 1)
-    pairs = []
-    for at in range(0, len(rest), 256):
-        some = rest[at : at + 256]
-        shared = np.zeros((len(some), len(group)), np.int16)
-        for j in range(SKETCHES):
-            shared += sig[some, j][:, None] == sig[:, j][None, :]
-        shared[code[some][:, None] == code[None, :]] = 0
-        best = np.argpartition(-shared, k - 1, axis=1)[:, :k]
-        rows, columns = np.nonzero(np.take_along_axis(shared, best, axis=1) > 0)
-        pairs += [(max(keys[a], keys[b]), min(keys[a], keys[b])) for a, b in zip(some[rows], best[rows, columns], strict=True)]
-    return pd.DataFrame(sorted(set(pairs)), columns=["u", "v"])
+    code = code.copy()
+    rare = prefixes(members, similarity)
+    token, owner = np.concatenate(rare), np.repeat(np.arange(len(rare)), [len(r) for r in rare])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    links = []
+    for x in np.flatnonzero(rest).tolist():
+        low, high = np.searchsorted(token, rare[x]), np.searchsorted(token, rare[x], "right")
+        y = np.unique(np.concatenate([owner[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]))
+        y = y[(code[y] != code[x]) & ~(rest[y] & (y > x)) & (np.minimum(sizes[y], sizes[x]) >= similarity * np.maximum(sizes[y], sizes[x]))]
+        same = sig[y] == sig[x]
+        first = ~same[:, :k].any(axis=1)
+        y, shared = y[first], same[first].sum(axis=1)
+        for at in y[np.argsort(-shared, kind="stable")].tolist():  # the likeliest first, as one link settles a class
+            if code[at] != code[x] and similarity_of(members[x], members[at], similarity) >= similarity:
+                links.append((max(keys[x], keys[at]), min(keys[x], keys[at])))
+                code[code == code[at]] = code[x]
+    return pd.DataFrame(links, columns=["u", "v"])
 
 
 def verify_pairs(pairs: DataFrame, packed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -183,6 +204,20 @@ def verify_pairs(pairs: DataFrame, packed: DataFrame, similarity: float = SIMILA
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInPandas(run, "u binary, v binary")
 
 
+def with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` (band, key) with the class of each so far."""
+    return members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+
+
+def link_open_buckets(now: DataFrame, packed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) between the classes of every bucket of three texts or more (those of two are compared by their leader)."""
+    classes = now.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
+    open_ = classes.groupBy("band").agg(F.max(F.struct("c", "root"))["root"].alias("most"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1 and n > 2")
+    place = F.pmod(F.xxhash64(F.substring("sig", 1, 8), F.substring("sig", 9, 8)), F.ceil(F.col("n") / GROUP))
+    grouped = now.join(open_.select("band", "n", "most"), "band").join(packed, "key").select("band", place.alias("part"), "key", "root", (F.col("root") != F.col("most")).alias("rest"), "s", "sig")
+    return grouped.groupBy("band", "part").applyInPandas(lambda group: link_bucket(group, similarity), "u binary, v binary").distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root): the class of each distinct text that has a near-duplicate; nodes are ``text_key``.
 
@@ -198,26 +233,22 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     edges, tested, roots = none, none, spark.createDataFrame([], "node binary, root binary")
     if not members.limit(1).count():
         return roots
-    for r in range(LEADER_ROUNDS + PARTNER_ROUNDS):
-        leading = r < LEADER_ROUNDS
-        now = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root")) if r else members.withColumn("root", F.col("key"))
+    for r in range(LEADER_ROUNDS):
+        now = with_roots(members, roots) if r else members.withColumn("root", F.col("key"))
         # The class of each member so far; a bucket with one class is settled, and so is one of two texts once they are compared.
         pick = F.min(F.struct(F.xxhash64(F.lit(r), "band", "key").alias("h"), F.col("key").alias("leader"), F.col("root").alias("of")))
-        open_ = now.groupBy("band").agg(pick.alias("p"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where(f"low <> high and n > {1 if leading else 2}")
-        turn, turns = (r, LEADER_ROUNDS) if leading else (r - LEADER_ROUNDS, PARTNER_ROUNDS)
-        open_ = open_.where(F.pmod(F.xxhash64(F.lit(turns), "band"), F.lit(turns)) == turn)
-        if leading:
-            pairs = now.join(open_.select("band", "p.leader", "p.of"), "band").where("root <> of").select(F.greatest("key", "leader").alias("u"), F.least("key", "leader").alias("v"))
-        else:
-            place = F.pmod(F.xxhash64(F.substring("sig", 1, 8), F.substring("sig", 9, 8)), F.ceil(F.col("n") / GROUP))
-            grouped = now.join(open_.select("band", "n"), "band").join(packed.select("key", "sig"), "key").select("band", place.alias("part"), "key", "root", "sig")
-            pairs = grouped.groupBy("band", "part").applyInPandas(likely_partners, "u binary, v binary")
+        open_ = now.groupBy("band").agg(pick.alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        open_ = open_.where(F.pmod(F.xxhash64(F.lit(LEADER_ROUNDS), "band"), F.lit(LEADER_ROUNDS)) == r)
+        pairs = now.join(open_.select("band", "p.leader", "p.of"), "band").where("root <> of").select(F.greatest("key", "leader").alias("u"), F.least("key", "leader").alias("v"))
         pairs = materialize(pairs.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
         found = materialize(verify_pairs(pairs.repartition(partitions(spark), "u", "v"), packed, similarity), "found")
         tested = tested.union(pairs)
         if found.limit(1).count():
             edges = edges.union(found)
             roots = connected_components(edges)
+    found = materialize(link_open_buckets(with_roots(members, roots), packed, similarity), "found")
+    if found.limit(1).count():
+        roots = connected_components(edges.union(found))
     return roots
 
 
