@@ -332,7 +332,10 @@ def brute_classes(data):
     return root
 
 
-def test_near_duplicates_amid_look_alikes(spark):
+@pytest.mark.parametrize("group", [None, 16])
+def test_near_duplicates_amid_look_alikes(spark, group, monkeypatch):
+    if group:
+        monkeypatch.setattr(near_dedup, "GROUP", group)
     data, pairs = look_alikes()
     want = brute_classes(data)
     assert all(want[a] == want[b] for a, b in pairs)

@@ -33,9 +33,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A sketch of a pair at similarity 0.8 agrees with probability 0.8**3 = 0.51; 24 of them all fail with 3e-8.
 TAKE, SKETCHES = 3, 24
-#: Rounds with leaders (each over another share of the buckets), and texts of one group when the rest is linked (larger buckets are
-#: split by the texts' first sketches, which a similar pair shares as often as any).
-LEADER_ROUNDS, GROUP = 3, 4000
+#: Rounds with leaders (each over another share of the buckets), and texts and bytes of shingles of a side of one group when the rest is
+#: linked (larger buckets are cut into a grid, see ``link_open_buckets``; no pair is lost).
+LEADER_ROUNDS, GROUP, GROUP_BYTES = 3, 4000, 32 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = np.array([xxhash.xxh3_64_intdigest(f"sketch {k}".encode()) for k in range(SKETCHES)], np.uint64)
 
@@ -161,11 +161,14 @@ def prefixes(members: list[np.ndarray], similarity: float) -> list[np.ndarray]:
 
 
 def link_bucket(group: pd.DataFrame, similarity: float = SIMILARITY) -> pd.DataFrame:
-    """Links (u, v) between the classes of one bucket: texts outside its largest class (``rest``) against all others, without a limit.
+    """Links (u, v) between the classes of one cell of a bucket: the texts of its row (``rest``) against those of its column (``against``).
 
     Pairs are left out only where they cannot matter: of one class by now, of lengths or rarest shingles that rule out the similarity
-    (prefix filtering, exact), or with an earlier sketch in common, in whose bucket they are compared."""
-    keys, rest = group["key"].to_numpy(), group["rest"].to_numpy(bool)
+    (prefix filtering, exact), with an earlier sketch in common, in whose bucket they are compared, or of two texts outside the largest
+    class the other way round."""
+    keys, rest, against, outside = group["key"].to_numpy(), group["rest"].to_numpy(bool), group["against"].to_numpy(bool), group["outside"].to_numpy(bool)
+    if not rest.any() or not against.any():
+        return pd.DataFrame([], columns=["u", "v"])
     members = [np.frombuffer(x, np.uint64) for x in group["s"]]
     sizes = np.array([len(m) for m in members])
     sig = np.frombuffer(b"".join(group["sig"]), np.uint64).reshape(len(group), SKETCHES)
@@ -180,7 +183,8 @@ def link_bucket(group: pd.DataFrame, similarity: float = SIMILARITY) -> pd.DataF
     for x in np.flatnonzero(rest).tolist():
         low, high = np.searchsorted(token, rare[x]), np.searchsorted(token, rare[x], "right")
         y = np.unique(np.concatenate([owner[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]))
-        y = y[(code[y] != code[x]) & ~(rest[y] & (y > x)) & (np.minimum(sizes[y], sizes[x]) >= similarity * np.maximum(sizes[y], sizes[x]))]
+        y = y[against[y]]
+        y = y[(code[y] != code[x]) & ~(outside[y] & (keys[y] > keys[x])) & (np.minimum(sizes[y], sizes[x]) >= similarity * np.maximum(sizes[y], sizes[x]))]
         same = sig[y] == sig[x]
         first = ~same[:, :k].any(axis=1)
         y, shared = y[first], same[first].sum(axis=1)
@@ -210,12 +214,33 @@ def with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def link_open_buckets(now: DataFrame, packed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) between the classes of every bucket of three texts or more (those of two are compared by their leader)."""
-    classes = now.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
-    open_ = classes.groupBy("band").agg(F.max(F.struct("c", "root"))["root"].alias("most"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1 and n > 2")
-    place = F.pmod(F.xxhash64(F.substring("sig", 1, 8), F.substring("sig", 9, 8)), F.ceil(F.col("n") / GROUP))
-    grouped = now.join(open_.select("band", "n", "most"), "band").join(packed, "key").select("band", place.alias("part"), "key", "root", (F.col("root") != F.col("most")).alias("rest"), "s", "sig")
-    return grouped.groupBy("band", "part").applyInPandas(lambda group: link_bucket(group, similarity), "u binary, v binary").distinct()
+    """Links (u, v) between the classes of every bucket of three texts or more (those of two are compared by their leader).
+
+    A large bucket is a grid: its texts are cut into columns and those outside its largest class into rows, and a cell compares the
+    texts of its row with those of its column. Every pair meets in a cell; a text of the largest class is sent once for each row only."""
+    sized = now.join(packed.select("key", F.length("s").alias("size")), "key")
+    classes = sized.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("size"))
+    whole = classes.groupBy("band").agg(F.max(F.struct("c", "root", "size")).alias("most"), F.sum("c").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("classes"))
+    parts = lambda n, size: F.greatest(F.lit(1), F.ceil(n / GROUP), F.ceil(size / GROUP_BYTES)).cast("int")
+    open_ = whole.where("classes > 1 and n > 2").select(
+        "band", "most.root", parts(F.col("n"), F.col("size")).alias("columns"), parts(F.col("n") - F.col("most.c"), F.col("size") - F.col("most.size")).alias("rows")
+    )
+    placed = now.join(open_.withColumnRenamed("root", "most"), "band").select(
+        "band",
+        "key",
+        "root",
+        (F.col("root") != F.col("most")).alias("outside"),
+        "columns",
+        "rows",
+        F.pmod(F.xxhash64(F.lit("column"), "key"), "columns").cast("int").alias("column"),
+        F.pmod(F.xxhash64(F.lit("row"), "key"), "rows").cast("int").alias("row"),
+    )
+    down = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda y: F.struct(F.col("column").alias("x"), y.alias("y")))
+    along = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda x: F.struct(x.alias("x"), F.col("row").alias("y")))
+    cells = placed.withColumn("cell", F.explode_outer(F.when(F.col("outside"), F.array_union(down, along)).otherwise(down)))
+    cells = cells.select("band", "cell", "key", "root", (F.col("outside") & (F.col("row") == F.col("cell.y"))).alias("rest"), (F.col("column") == F.col("cell.x")).alias("against"), "outside")
+    grouped = cells.join(packed, "key").select("band", "cell.x", "cell.y", "key", "root", "outside", "rest", "against", "s", "sig")
+    return grouped.groupBy("band", "x", "y").applyInPandas(lambda group: link_bucket(group, similarity), "u binary, v binary").distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
