@@ -155,3 +155,9 @@ def test_dataset_operators(spark):
     assert empty_rate.rate == 1.0
     flat = O.contradictions(rows, ["g"], "k", "i").where("conflict").count()
     assert flat == 4
+
+
+def test_leaks_within_words(spark):
+    docs = spark.createDataFrame([(1, 'he said "the quick brown fox jumps over it.'), (2, "see foo bar baz."), (3, "the quick brown fox leaps over")], "doc_id long, t string")
+    items = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "foo bar baz"), (3, "quick brown fox jumps ove"), (4, "he quick brown fox leaps over"), (5, "")], "item_id long, t string")
+    assert sorted(map(tuple, O.leaks_by_text(docs, items).collect())) == [(1, 1), (1, 3), (2, 2), (3, 4)]
