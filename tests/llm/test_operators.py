@@ -184,6 +184,17 @@ def test_secrets(spark, docs, empty, rows):
     assert spans("internationalization2 configuration_management_system_2") == ""
 
 
+def test_secrets_of_letters_in_paths_and_beside_others():
+    ratio = secrets.Ratio(public_tokenizers.path(secrets.VOCABULARY))
+    spans = lambda t: secrets.written(secrets.find_spans(t, ratio)[1])
+    key = "qXvZkWpJtRzGbNwQ"  # letters only
+    assert spans(f"see {key} here") == "random:4:20"
+    path = "/services/configuration/production/environment/"
+    assert spans(f"{path}{key}") == f"random:{len(path)}:{len(path) + 16}"
+    assert spans(f"{'0123456789abcdef' * 2}{key}") == "hex:0:32,random:32:48"
+    assert spans("internationalization and /services/configuration/production/environment") == ""
+
+
 def test_language(spark, docs, empty, rows):
     labelled = docs.where("doc_id in (1, 2, 3, 7, 8, 10) or doc_id is null")
     model = language.train_languages(labelled)

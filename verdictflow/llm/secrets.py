@@ -29,10 +29,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24}")
 KINDS = ("assign", "access", "hex", "random")
-#: Candidates of the token-efficiency test: runs of key characters with a letter and a digit, of this length or more.
-RANDOM = re.compile(r"(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Candidates of the token-efficiency test: runs of key characters with a letter, of this length or more, and their parts between / - _.
+RANDOM = re.compile(r"(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}")
+PART = re.compile(r"(?=[0-9+]*[A-Za-z])[A-Za-z0-9+]{16,}={0,2}")
 #: Characters per token below which a candidate counts as random. Ordinary identifiers reach 3 and more, random keys stay near 1.5.
 RATIO = 2.2
+#: The same for letters of one case (or capitalised): rare and compound words of many languages reach 2.0 there, random letters 1.5 to 1.9.
+WORD_RATIO = 1.9
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Known digests and identifiers: hexadecimal digests of the usual lengths, UUIDs, dates and numbers with a unit or prefix.
 KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
@@ -76,13 +80,19 @@ class Ratio:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], ratio: Ratio, limit: float = RATIO) -> list[tuple[int, int, int]]:
-    """Spans of random strings that no span in ``taken`` overlaps."""
-    found = []
-    for m in RANDOM.finditer(text):
-        if KNOWN.fullmatch(m.group()) or any(s < m.end() and m.start() < e for s, _, e in taken):
-            continue
-        if ratio(m.group()) < limit:
-            found.append((m.start(), 3, m.end()))
+    """Spans of random strings in what the spans in ``taken`` leave uncovered: whole runs, else those of their parts that are random."""
+    found, at = [], 0
+
+    def is_random(run: str) -> bool:
+        return ratio(run) < (min(limit, WORD_RATIO) if WORD.fullmatch(run) else limit) and not KNOWN.fullmatch(run)
+
+    for start, end in [*[(s, e) for s, _, e in sorted(taken)], (len(text), len(text))]:
+        for m in RANDOM.finditer(text, at, max(at, start)):
+            if is_random(m.group()):
+                found.append((m.start(), 3, m.end()))
+            elif not KNOWN.fullmatch(m.group()):
+                found += [(p.start(), 3, p.end()) for p in PART.finditer(text, m.start(), m.end()) if is_random(p.group())]
+        at = max(at, end)
     return found
 
 
