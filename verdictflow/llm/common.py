@@ -44,9 +44,11 @@ _made: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``, else the context's checkpoint folder. Only where
-    neither is set (local runs and tests) a temporary folder is made, one for each application."""
+    neither is set, and only in local mode, a temporary folder is made, one for each application."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _made:
             _made[app] = f"file://{tempfile.mkdtemp(prefix='verdictflow-')}"
@@ -54,12 +56,48 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Written tables are complete and shared, so the shuffle files behind them are of no more use.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (out, path)
+    return out
+
+
+_written: dict[int, tuple[DataFrame, str]] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        _, path = _written.pop(id(df), (None, None))
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each changed until no column of ``docs`` has it (in any case)."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_or_empty(column: str = "text") -> Column:

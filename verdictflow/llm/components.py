@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdictflow.llm.common import materialize
+from verdictflow.llm.common import materialize, release
 
 MAX_ROUNDS = 60
 
@@ -18,6 +18,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Nulls and loops are left out; repeated edges count once; without edges the result is empty."""
     links = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links = materialize(links, "links")
+    state = None
     for _ in range(MAX_ROUNDS):
         # Large star: every node links its larger neighbours to the smallest node it sees.
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,9 +28,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        changed = after.exceptAll(links).limit(1).count() + links.exceptAll(after).limit(1).count()
+        release(links)
         links = after
-        if not changed:
+        # The links are distinct, so their number and the exclusive or of their hashes stand for the set.
+        last, state = state, links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if state == last:
             break
     else:
         raise RuntimeError("the components did not settle")

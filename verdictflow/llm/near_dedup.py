@@ -8,11 +8,12 @@ Candidates are verified by banded alignment: the longest chain of common labelle
 of offsets that a similar pair can have. Similarity is aligned shingles over all shingles of both (an order-keeping Jaccard), 0.8 or
 more. Links join into classes.
 
-No bucket is expanded into pairs. Each bucket has one leader, chosen by hash and so another one in every bucket; its other members are
-compared with the leader only. A round takes a third of the buckets; what is linked by then is one class, and the next round compares
-only members of other classes than the leader's. Buckets that still hold several classes then go through exact prefix filtering: every text
-outside a bucket's largest class meets all members of other classes that it can be similar to, so no pair with a common sketch is left
-open. That happens within the group of a bucket, and pairs are compared in the bucket of their first common sketch only.
+No bucket is expanded into pairs. Texts, not rows, are compared: copies share a key and are one from the first shuffle on. In a round
+each text is compared with one leader, the one that leads most of its buckets (a bucket is led by its text with the least hash, so the
+texts of a family have few leaders); what is linked is one class, and the next round compares only members of other classes. Buckets of
+two texts are compared as a pair. Larger ones that still hold several classes go through exact prefix filtering: every text outside a
+bucket's largest class meets all members of other classes that it can be similar to, so no pair with a common sketch is left open.
+That happens within the cells of a bucket, and pairs are compared in the bucket of their first common sketch only.
 """
 
 from __future__ import annotations
@@ -23,19 +24,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictflow.llm.common import materialize, partitions, table, text_or_empty
+from verdictflow.llm.common import fresh, materialize, partitions, release, table, text_or_empty
 from verdictflow.llm.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: A sketch of a pair at similarity 0.8 agrees with probability 0.8**3 = 0.51; 24 of them all fail with 3e-8.
 TAKE, SKETCHES = 3, 24
-#: Rounds with leaders (each over another share of the buckets), and texts and bytes of shingles of a side of one group when the rest is
-#: linked (larger buckets are cut into a grid, see ``link_open_buckets``; no pair is lost).
-LEADER_ROUNDS, GROUP, GROUP_BYTES = 3, 4000, 32 << 20
+#: Rounds with leaders, and texts and bytes of shingles of a side of one cell when the rest is linked (larger buckets are cut into a grid,
+#: see ``link_open_buckets``; no pair is lost).
+LEADER_ROUNDS, GROUP, GROUP_BYTES = 2, 4000, 8 << 20
+#: Texts with a common sketch up to whose number their keys (some 100 bytes each) are broadcast to fetch them; beyond, a shuffle join does.
+BROADCAST_TEXTS = 1 << 19
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = np.array([xxhash.xxh3_64_intdigest(f"sketch {k}".encode()) for k in range(SKETCHES)], np.uint64)
 
@@ -126,68 +129,87 @@ def similarity_of(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY)
 
 
 def sketch_texts(texts: DataFrame) -> DataFrame:
-    """(key, band) for each sketch of each row of ``texts`` (key, text)."""
+    """(key, doc_id, n, sig) for each row of ``texts`` (key, doc_id, text): the number of shingles and the sketches."""
+    id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, bands = [], []
-            for key, text in zip(batch["key"], batch["text"], strict=True):
-                s = sketches(shingles(word_keys(text)))
-                keys += [key] * len(s)
-                bands.append(s)
-            yield pd.DataFrame({"key": keys, "band": np.concatenate([np.zeros(0, np.uint64), *bands]).view(np.int64)})
+            found = [shingles(word_keys(t)) for t in batch["text"]]
+            yield pd.DataFrame({"key": batch["key"], "doc_id": batch["doc_id"], "n": [len(x) for x in found], "sig": [sketches(x).view(np.int64) for x in found]})
 
-    return texts.mapInPandas(run, "key binary, band long")
+    return texts.mapInPandas(run, f"key binary, doc_id {id_type}, n int, sig array<long>")
 
 
 def shingle_texts(texts: DataFrame) -> DataFrame:
-    """(key, s, sig): the labelled shingles and the sketches of each row of ``texts``, packed."""
+    """(key, s): the labelled shingles of each row of ``texts`` (key, text), packed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            all_shingles = [shingles(word_keys(t)) for t in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"], "s": [x.tobytes() for x in all_shingles], "sig": [sketches(x).tobytes() for x in all_shingles]})
-
-    return texts.mapInPandas(run, "key binary, s binary, sig binary")
-
-
-def prefixes(members: list[np.ndarray], similarity: float) -> list[np.ndarray]:
-    """The rarest shingles of each text, as numbers in one order for all: so many that two texts of this similarity share one."""
-    _, number, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
-    rank = np.empty(len(count), np.int64)
-    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
-    cuts = np.cumsum([len(m) for m in members])[:-1]
-    return [np.sort(r)[: len(r) - int(np.ceil(similarity * len(r) - 1e-9)) + 1] for r in np.split(rank[number], cuts)]
+            yield pd.DataFrame({"key": batch["key"], "s": [shingles(word_keys(t)).tobytes() for t in batch["text"]]})
+
+    return texts.mapInPandas(run, "key binary, s binary")
+
+
+class Postings:
+    """The shingles of the texts of one cell: which texts have each, and the prefix of each text by rarity."""
+
+    def __init__(self, members: list[np.ndarray], similarity: float):
+        self.sizes = np.array([len(m) for m in members])
+        _, number, count = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+        self.of = np.split(number, np.cumsum(self.sizes)[:-1])
+        owner = np.repeat(np.arange(len(members), dtype=np.int32), self.sizes)
+        self.owner, self.ends = owner[np.argsort(number, kind="stable")], np.cumsum(count)
+        rank = np.empty(len(count), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+        # So many of the rarest shingles that two texts of this similarity share one.
+        keep = [len(r) - int(np.ceil(similarity * len(r) - 1e-9)) + 1 for r in self.of]
+        rare = [r[np.argsort(rank[r])[:k]] for r, k in zip(self.of, keep, strict=True)]
+        self.rare = rare
+        token, holder = np.concatenate(rare), np.repeat(np.arange(len(rare), dtype=np.int32), [len(r) for r in rare])
+        order = np.argsort(token, kind="stable")
+        self.token, self.holder = token[order], holder[order]
+
+    def candidates(self, x: int) -> np.ndarray:
+        """Texts whose prefix shares a shingle with that of ``x``."""
+        low, high = np.searchsorted(self.token, self.rare[x]), np.searchsorted(self.token, self.rare[x], "right")
+        return np.unique(np.concatenate([self.holder[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]))
+
+    def common(self, x: int) -> np.ndarray:
+        """How many shingles of ``x`` each text has."""
+        ends = self.ends[self.of[x]]
+        starts = np.where(self.of[x] > 0, self.ends[self.of[x] - 1], 0)
+        return np.bincount(np.concatenate([self.owner[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), minlength=len(self.sizes))
 
 
 def link_bucket(group: pd.DataFrame, similarity: float = SIMILARITY) -> pd.DataFrame:
     """Links (u, v) between the classes of one cell of a bucket: the texts of its row (``rest``) against those of its column (``against``).
 
-    Pairs are left out only where they cannot matter: of one class by now, of lengths or rarest shingles that rule out the similarity
-    (prefix filtering, exact), with an earlier sketch in common, in whose bucket they are compared, or of two texts outside the largest
-    class the other way round."""
+    Pairs are left out only where they cannot matter: of one class by now, of lengths, rarest shingles (prefix filtering, exact) or too
+    few common shingles to be similar, with an earlier sketch in common, in whose bucket they are compared, or of two texts outside the
+    largest class the other way round."""
     keys, rest, against, outside = group["key"].to_numpy(), group["rest"].to_numpy(bool), group["against"].to_numpy(bool), group["outside"].to_numpy(bool)
     if not rest.any() or not against.any():
         return pd.DataFrame([], columns=["u", "v"])
     members = [np.frombuffer(x, np.uint64) for x in group["s"]]
-    sizes = np.array([len(m) for m in members])
-    sig = np.frombuffer(b"".join(group["sig"]), np.uint64).reshape(len(group), SKETCHES)
-    k = int(np.flatnonzero(sig[0].view(np.int64) == group["band"].iloc[0])[0])
+    postings = Postings(members, similarity)
+    sizes = postings.sizes
+    sig = np.stack(group["sig"].to_numpy())
+    k = int(np.flatnonzero(sig[0] == group["band"].iloc[0])[0])
     _, code = np.unique(np.array([r.hex() for r in group["root"]]), return_inverse=True)
     code = code.copy()
-    rare = prefixes(members, similarity)
-    token, owner = np.concatenate(rare), np.repeat(np.arange(len(rare)), [len(r) for r in rare])
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
     links = []
     for x in np.flatnonzero(rest).tolist():
-        low, high = np.searchsorted(token, rare[x]), np.searchsorted(token, rare[x], "right")
-        y = np.unique(np.concatenate([owner[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]))
+        y = postings.candidates(x)
         y = y[against[y]]
         y = y[(code[y] != code[x]) & ~(outside[y] & (keys[y] > keys[x])) & (np.minimum(sizes[y], sizes[x]) >= similarity * np.maximum(sizes[y], sizes[x]))]
+        if not len(y):
+            continue
         same = sig[y] == sig[x]
         first = ~same[:, :k].any(axis=1)
         y, shared = y[first], same[first].sum(axis=1)
+        if len(y) > 4:  # aligned shingles are common ones
+            enough = postings.common(x)[y] >= (sizes[y] + sizes[x]) * (similarity / (1 + similarity)) - 1e-6
+            y, shared = y[enough], shared[enough]
         for at in y[np.argsort(-shared, kind="stable")].tolist():  # the likeliest first, as one link settles a class
             if code[at] != code[x] and similarity_of(members[x], members[at], similarity) >= similarity:
                 links.append((max(keys[x], keys[at]), min(keys[x], keys[at])))
@@ -208,18 +230,36 @@ def verify_pairs(pairs: DataFrame, packed: DataFrame, similarity: float = SIMILA
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInPandas(run, "u binary, v binary")
 
 
-def with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``members`` (band, key) with the class of each so far."""
-    return members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+def near(a: Column | str, b: Column | str, similarity: float) -> Column:
+    """Whether texts of so many shingles can be similar."""
+    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
+
+
+def with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``members`` (band, key, n) with the class of each so far."""
+    if roots is None:
+        return members.withColumn("root", F.col("key"))
+    return members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "n", F.coalesce("root", "key").alias("root"))
+
+
+def leader_pairs(now: DataFrame, seed: int, similarity: float) -> DataFrame:
+    """Pairs (u, v) of each text with the text of another class that leads most of its buckets, and the texts of buckets of two."""
+    least = F.min(F.struct(F.xxhash64(F.lit(seed), "key").alias("h"), F.col("key").alias("leader"), F.col("root").alias("of"), F.col("n").alias("m")))
+    most = F.max(F.struct(F.xxhash64(F.lit(seed), "key").alias("h"), F.col("key").alias("other")))
+    led = now.groupBy("band").agg(least.alias("p"), most.alias("q"), F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    under = now.join(led.select("band", "p.*", "c"), "band").where("root <> of").where(near("n", "m", similarity))
+    votes = under.groupBy("key", "leader").agg(F.count(F.lit(1)).alias("votes"), F.max(F.col("c") == 2).alias("two"))
+    first = votes.groupBy("key").agg(F.max(F.struct("votes", "leader")).alias("f")).select("key", "f.leader")
+    chosen = first.union(votes.where("two").select("key", "leader"))
+    return chosen.select(F.greatest("key", "leader").alias("u"), F.least("key", "leader").alias("v")).distinct()
 
 
 def link_open_buckets(now: DataFrame, packed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) between the classes of every bucket of three texts or more (those of two are compared by their leader).
+    """Links (u, v) between the classes of every bucket of three texts or more (those of two are compared as a pair).
 
     A large bucket is a grid: its texts are cut into columns and those outside its largest class into rows, and a cell compares the
     texts of its row with those of its column. Every pair meets in a cell; a text of the largest class is sent once for each row only."""
-    sized = now.join(packed.select("key", F.length("s").alias("size")), "key")
-    classes = sized.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("size"))
+    classes = now.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"), F.sum(F.lit(8) * F.col("n")).alias("size"))
     whole = classes.groupBy("band").agg(F.max(F.struct("c", "root", "size")).alias("most"), F.sum("c").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("classes"))
     parts = lambda n, size: F.greatest(F.lit(1), F.ceil(n / GROUP), F.ceil(size / GROUP_BYTES)).cast("int")
     open_ = whole.where("classes > 1 and n > 2").select(
@@ -243,38 +283,47 @@ def link_open_buckets(now: DataFrame, packed: DataFrame, similarity: float = SIM
     return grouped.groupBy("band", "x", "y").applyInPandas(lambda group: link_bucket(group, similarity), "u binary, v binary").distinct()
 
 
+def merge_classes(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(node, root) after the links ``found`` (u, v): only the classes they touch are joined anew."""
+    if roots is None:
+        return connected_components(found)
+    u, v = roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), roots.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+    between = found.join(u, "u", "left").join(v, "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
+    new = materialize(connected_components(between).select("node", F.col("root").alias("to")), "classes")
+    moved = roots.join(new.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    both = moved.union(new.select("node", F.col("to").alias("root"))).distinct()
+    return materialize(both, "roots")
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root): the class of each distinct text that has a near-duplicate; nodes are ``text_key``.
 
     Equal texts share a key and are compared once. Texts without words are alike only if equal."""
     spark = docs.sparkSession
-    texts = docs.select(text_key().alias("key"), text_or_empty().alias("text"))
-    bands = materialize(sketch_texts(texts), "bands")
+    texts = docs.select(text_key().alias("key"), "doc_id", text_or_empty().alias("text"))
+    # Copies become one row before the shuffle and after it; the least id tells which row stands for them.
+    sketched = materialize(sketch_texts(texts).groupBy("key", "n", "sig").agg(F.min("doc_id").alias("doc_id")), "sketches")
+    bands = sketched.select("key", "n", F.explode("sig").alias("band"))
     shared = bands.groupBy("band").agg(F.min(F.xxhash64("key")).alias("low"), F.max(F.xxhash64("key")).alias("high")).where("low <> high").select("band")
-    members = materialize(bands.join(shared, "band").distinct(), "members")
-    wanted = members.select("key").distinct()
-    packed = materialize(shingle_texts(texts.join(wanted, "key", "left_semi")).dropDuplicates(["key"]), "shingles")
-    none = spark.createDataFrame([], "u binary, v binary")
-    edges, tested, roots = none, none, spark.createDataFrame([], "node binary, root binary")
-    if not members.limit(1).count():
-        return roots
+    members = materialize(bands.join(shared, "band"), "members")
+    wanted = materialize(sketched.join(members.select("key").distinct(), "key", "left_semi"), "wanted")
+    release(sketched)
+    few = wanted.select(F.col("key").alias("w"), F.col("doc_id").alias("w_id"))
+    if wanted.count() <= BROADCAST_TEXTS:
+        few = F.broadcast(few)
+    stands = texts.join(few, (F.col("key") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
+    packed = shingle_texts(stands).groupBy("key").agg(F.first("s").alias("s"))  # repeated rows have the same id and text
+    packed = materialize(packed.join(wanted.select("key", "sig"), "key"), "shingles")
+    roots: DataFrame | None = None
+    tested: DataFrame | None = None
     for r in range(LEADER_ROUNDS):
-        now = with_roots(members, roots) if r else members.withColumn("root", F.col("key"))
-        # The class of each member so far; a bucket with one class is settled, and so is one of two texts once they are compared.
-        pick = F.min(F.struct(F.xxhash64(F.lit(r), "band", "key").alias("h"), F.col("key").alias("leader"), F.col("root").alias("of")))
-        open_ = now.groupBy("band").agg(pick.alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        open_ = open_.where(F.pmod(F.xxhash64(F.lit(LEADER_ROUNDS), "band"), F.lit(LEADER_ROUNDS)) == r)
-        pairs = now.join(open_.select("band", "p.leader", "p.of"), "band").where("root <> of").select(F.greatest("key", "leader").alias("u"), F.least("key", "leader").alias("v"))
-        pairs = materialize(pairs.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
+        pairs = leader_pairs(with_roots(members, roots), r, similarity)
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
         found = materialize(verify_pairs(pairs.repartition(partitions(spark), "u", "v"), packed, similarity), "found")
-        tested = tested.union(pairs)
-        if found.limit(1).count():
-            edges = edges.union(found)
-            roots = connected_components(edges)
+        roots = merge_classes(roots, found)
     found = materialize(link_open_buckets(with_roots(members, roots), packed, similarity), "found")
-    if found.limit(1).count():
-        roots = connected_components(edges.union(found))
-    return roots
+    return merge_classes(roots, found)
 
 
 def classify_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -293,18 +342,24 @@ def classify_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` with one row of each class: that of the smallest doc_id (then text), columns unchanged.
+    """The rows of ``docs`` with one row of each class: that of the smallest doc_id (null first, then by text), columns unchanged.
 
-    The choice is an aggregation over slim rows; of rows repeated with the same doc_id and text one stays."""
+    * Null and empty texts are one class. Of rows with the same doc_id and text one stays: the one with the least hash of all columns.
+    * Empty tables stay empty; columns may have any names. The choice is an aggregation over slim rows."""
     columns = docs.columns
-    keyed = docs.withColumn("_vf_key", text_key())
-    classes = near_duplicate_classes(docs, similarity).select(F.col("node").alias("_vf_key"), F.col("root").alias("_vf_root"))
-    slim = keyed.select("doc_id", "_vf_key").join(classes, "_vf_key", "left").select(F.col("doc_id").alias("_vf_id"), F.col("_vf_key"), F.coalesce("_vf_root", "_vf_key").alias("_vf_root"))
+    key, root, ident, first_key, times = fresh(docs, "key", "root", "ident", "first_key", "times")
+    keyed = docs.withColumn(key, text_key())
+    classes = near_duplicate_classes(docs, similarity).select(F.col("node").alias(key), F.col("root").alias(root))
+    slim = keyed.select(F.col("doc_id").alias(ident), key).join(classes, key, "left").select(ident, key, F.coalesce(root, key).alias(root))
     # struct order puts a null id first, so that a class of null ids keeps a row as well
-    first = slim.groupBy("_vf_root").agg(F.min(F.struct("_vf_id", "_vf_key")).alias("f")).select("f._vf_id", F.col("f._vf_key").alias("_vf_k"))
-    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["_vf_id"]) & (keyed["_vf_key"] == first["_vf_k"]), "left_semi")
-    number = F.row_number().over(Window.partitionBy("doc_id", "_vf_key").orderBy(F.lit(1)))
-    return kept.withColumn("_vf_n", number).where("_vf_n = 1").select(*[F.col(f"`{c}`") for c in columns])
+    first = slim.groupBy(root, ident, key).agg(F.count(F.lit(1)).alias(times)).groupBy(root).agg(F.min(F.struct(ident, key, times)).alias("f"))
+    first = materialize(first.select(f"f.{ident}", F.col(f"f.{key}").alias(first_key), f"f.{times}"), "first")
+    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first[ident]) & (keyed[key] == first[first_key]), "left_semi")
+    if not first.where(F.col(times) > 1).limit(1).count():
+        return kept.select(*[F.col(f"`{c}`") for c in columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    one = kept.groupBy(F.col("doc_id").alias(ident), F.col(key)).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(root))
+    return one.select(*[F.col(f"{root}.`{c}`").alias(c) for c in columns])
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
