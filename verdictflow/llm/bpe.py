@@ -2,7 +2,8 @@
 
 The distinct words of a block of documents form one corpus. An inverted index from merge rank to the positions where that merge
 applies, and a heap of the ranks present, replay the merges in rank order over the whole corpus at once; each merge touches its two
-neighbours only. Encoded words are kept between blocks in a bounded cache, so frequent words are replayed once per worker.
+neighbours only. Words are kept between blocks in a bounded cache, encoded and decoded from their ids, so frequent words are replayed and
+decoded once per worker.
 """
 
 from __future__ import annotations
@@ -120,7 +121,8 @@ class Codec:
         self.ranks = load_ranks(path)
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.pieces = regex.compile(pattern).findall
-        self.cache: dict[str, str] = {}
+        self.ids: dict[str, str] = {}
+        self.decoded: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
@@ -128,24 +130,26 @@ class Codec:
             cls.made[path, pattern] = cls(path, pattern)
         return cls.made[path, pattern]
 
-    def encode(self, texts: list[str]) -> list[str]:
-        """Decimal ids of each text, joined by a space."""
+    def run(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """(decimal ids joined by a space, bytes decoded from the ids) of each text. A text's pieces are coded separately, so what
+        its ids decode to is what the ids of its pieces do, one after another."""
         split = [self.pieces(t) for t in texts]
-        known = self.cache
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({p for pieces in split for p in pieces if p not in known})
-        here = dict(zip(new, (" ".join(map(str, ids)) for ids in replay_merges([p.encode() for p in new], self.ranks)), strict=True))
-        long = {p: v for p, v in here.items() if len(p) > CACHE_WORD_CHARS}
-        known.update(here)
-        out = [" ".join([known[p] for p in pieces]) for pieces in split]
-        for p in long:
-            del known[p]
+        if len(self.ids) > CACHE_WORDS:
+            self.ids.clear()
+            self.decoded.clear()
+        new = list({p for pieces in split for p in pieces if p not in self.ids})
+        for p, ids in zip(new, replay_merges([p.encode() for p in new], self.ranks), strict=True):
+            self.ids[p] = " ".join(map(str, ids))
+            self.decoded[p] = self.decode(ids)
+        ids_of, decoded = self.ids.__getitem__, self.decoded.__getitem__
+        out = [(" ".join(map(ids_of, pieces)), b"".join(map(decoded, pieces))) for pieces in split]
+        for p in new:
+            if len(p) > CACHE_WORD_CHARS:
+                del self.ids[p], self.decoded[p]
         return out
 
-    def decode(self, ids: str) -> bytes:
-        b = self.bytes_of
-        return b"".join([b[i] for i in map(int, ids.split())])
+    def decode(self, ids: Iterable[int]) -> bytes:
+        return b"".join([self.bytes_of[i] for i in ids])
 
 
 def blocks(texts: Iterable[str], chars: int = BLOCK_CHARS) -> Iterator[list[str]]:
@@ -176,10 +180,10 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
             texts = ["" if t is None else t for t in batch["text"]]
             counts, digests, back, all_ids = [], [], [], []
             for block in blocks(texts):
-                for ids in codec.encode(block):
+                for ids, decoded in codec.run(block):
                     counts.append(ids.count(" ") + 1 if ids else 0)
                     digests.append(hashlib.sha256(ids.encode()).hexdigest())
-                    back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                    back.append(hashlib.sha256(decoded).hexdigest())
                     if with_ids:
                         all_ids.append([int(i) for i in ids.split()])
             out = pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": np.array(counts, np.int64), "ids_sha256": digests, "decoded_sha256": back})
