@@ -30,8 +30,11 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24}")
 KINDS = ("assign", "access", "hex", "random")
 #: Candidates of the token-efficiency test: runs of key characters with a letter, of this length or more, and their parts between / - _.
-RANDOM = re.compile(r"(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}")
-PART = re.compile(r"(?=[0-9+]*[A-Za-z])[A-Za-z0-9+]{16,}={0,2}")
+RANDOM = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+PART = re.compile(r"[A-Za-z0-9+]{16,}={0,2}")
+LETTER = re.compile(r"[A-Za-z]")
+#: Characters that are tokenized at once: the time of a run is in proportion to its length.
+CHUNK = 256
 #: Characters per token below which a candidate counts as random. Ordinary identifiers reach 3 and more, random keys stay near 1.5.
 RATIO = 2.2
 #: The same for letters of one case (or capitalised): rare and compound words of many languages reach 2.0 there, random letters 1.5 to 1.9.
@@ -76,7 +79,7 @@ class Ratio:
         return cls.made[path]
 
     def __call__(self, s: str) -> float:
-        return len(s) / max(1, len(self.tokens(s)))
+        return len(s) / max(1, sum(len(self.tokens(s[i : i + CHUNK])) for i in range(0, len(s), CHUNK)))
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], ratio: Ratio, limit: float = RATIO) -> list[tuple[int, int, int]]:
@@ -84,13 +87,14 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], ratio: Ratio, lim
     found, at = [], 0
 
     def is_random(run: str) -> bool:
-        return ratio(run) < (min(limit, WORD_RATIO) if WORD.fullmatch(run) else limit) and not KNOWN.fullmatch(run)
+        return bool(LETTER.search(run)) and ratio(run) < (min(limit, WORD_RATIO) if WORD.fullmatch(run) else limit) and not KNOWN.fullmatch(run)
 
+    # One look at each run; whether it has a letter is asked of the run, not of every place in it.
     for start, end in [*[(s, e) for s, _, e in sorted(taken)], (len(text), len(text))]:
         for m in RANDOM.finditer(text, at, max(at, start)):
             if is_random(m.group()):
                 found.append((m.start(), 3, m.end()))
-            elif not KNOWN.fullmatch(m.group()):
+            elif LETTER.search(m.group()) and not KNOWN.fullmatch(m.group()):
                 found += [(p.start(), 3, p.end()) for p in PART.finditer(text, m.start(), m.end()) if is_random(p.group())]
         at = max(at, end)
     return found
