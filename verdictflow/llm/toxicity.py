@@ -1,16 +1,17 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes, calibration.
 
-The examples are a bounded sample of labelled rows (``EXAMPLES`` of each label, chosen by a hash of the key). Terms are words and
-word beginnings; the terms most associated with the label form the vocabulary. The index keeps postings by term, cut into blocks of
-examples with the largest weight of each term in each block: a query bounds every block, visits blocks from the highest bound down
-and stops when no block can hold a nearer example, so the neighbours are exact.
+The examples are a bounded sample of labelled rows (``EXAMPLES`` of each label, those with the least hashes of the key). Terms are words
+and word beginnings; those of the sample that are associated with the label beyond chance form the vocabulary, and their document
+frequencies are counted over all training documents. The index keeps postings by term, cut into blocks of examples with the largest
+weight of each term in each block: a query bounds every block, visits blocks from the highest bound down and stops when no block can
+hold a nearer example, so the neighbours are exact.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,6 @@ from verdictflow.llm.common import crc_of_id, table
 
 #: Documented bound of the fitted sample: examples of each label.
 EXAMPLES = 3000
-TERMS = 3000
 MIN_EXAMPLES_OF_TERM = 6
 #: A term is kept if its association (chi-square with one degree of freedom) is at least this.
 MIN_ASSOCIATION = 24.0
@@ -31,6 +31,7 @@ BLOCK = 64
 PREFIXES = (4, 5)
 WORDS = re.compile(r"[^\W\d_]+").findall
 THRESHOLD = 0.7
+CACHE_WORDS = 500_000
 
 
 def terms_of_word(word: str) -> list[str]:
@@ -57,46 +58,54 @@ def term_counts(text: str, cache: dict[str, tuple[int, ...]] | None = None, voca
 
 @dataclass
 class BlockMaxIndex:
-    """Inverted index of unit vectors: for each term, the weights of the examples block by block, and the largest of each block.
-
-    ``postings[t, b]`` are the weights of term t in the examples of block b, zeros included: within the bounds of the sample (examples
-    and terms) a few dozen MB, and one block of many terms is one gather."""
+    """Inverted index of unit vectors: postings (example, weight) by term and example, where each block of examples starts in those of
+    each term, and the largest weight of each term in each block."""
 
     n_examples: int
-    postings: np.ndarray  # terms x blocks x BLOCK
+    example: np.ndarray
+    weight: np.ndarray
+    starts: np.ndarray  # terms x (blocks + 1)
     block_max: np.ndarray  # terms x blocks
 
     @classmethod
     def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> BlockMaxIndex:
         blocks = -(-max(1, len(vectors)) // BLOCK)
-        postings = np.zeros((n_terms, blocks * BLOCK), np.float32)
-        for i, (t, w) in enumerate(vectors):
-            postings[t, i] = w
-        postings = postings.reshape(n_terms, blocks, BLOCK)
-        return cls(len(vectors), postings, postings.max(axis=2))
+        term = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in vectors]])
+        example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        weight = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
+        order = np.lexsort((example, term))
+        term, example, weight = term[order], example[order], weight[order]
+        cell = term * blocks + example // BLOCK
+        starts = np.searchsorted(cell, np.arange(n_terms)[:, None] * blocks + np.arange(blocks + 1)[None, :])
+        block_max = np.zeros(n_terms * blocks)
+        np.maximum.at(block_max, cell, weight)
+        return cls(len(vectors), example, weight, starts, block_max.reshape(n_terms, blocks))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest by exact cosine, nearest first; equal cosines by example number.
 
         Only examples that share a term with the query (cosine above 0) are returned."""
-        w = weights.astype(np.float32)
-        bounds = w @ self.block_max[terms]
+        bounds = weights @ self.block_max[terms]
         order = np.argsort(-bounds, kind="stable")
         best = np.zeros(0, np.int64)
-        cosines = np.zeros(0, np.float32)
+        cosines = np.zeros(0)
         at, step = 0, 8
         # A block whose bound is below the k-th best (less rounding) holds nothing nearer.
         while at < len(order) and bounds[order[at]] > 0 and (len(best) < k or bounds[order[at]] >= cosines[-1] - 1e-5):
             chosen = order[at : at + step]  # more blocks each time: few steps even where the bounds are loose
             at += step
             step *= 2
-            score = np.tensordot(w, self.postings[terms[:, None], chosen[None, :]], axes=1)
-            row, column = np.nonzero(score)
-            best = np.concatenate([best, chosen[row] * BLOCK + column])
-            cosines = np.concatenate([cosines, score[row, column]])
+            first = self.starts[terms[:, None], chosen[None, :]]
+            size = (self.starts[terms[:, None], chosen[None, :] + 1] - first).ravel()
+            ends = np.cumsum(size)
+            places = np.repeat(first.ravel() - ends + size, size) + np.arange(ends[-1])
+            score = np.bincount(self.example[places], self.weight[places] * np.repeat(np.repeat(weights, len(chosen)), size), self.n_examples)
+            found = np.flatnonzero(score)
+            best = np.concatenate([best, found])
+            cosines = np.concatenate([cosines, score[found]])
             keep = np.lexsort((best, -np.round(cosines, 5)))[:k]
             best, cosines = best[keep], cosines[keep]
-        return best, cosines.astype(np.float64)
+        return best, cosines
 
 
 @dataclass
@@ -149,27 +158,58 @@ def calibrate(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tup
     return float(a), float(b)
 
 
-def fit_toxicity(rows: list[tuple[object, str, int]], sizes: dict[int, int]) -> ToxicityModel:
-    """``rows`` (id, text, label) are the sampled examples, ``sizes`` the number of labelled rows of each label."""
-    rows = sorted(rows, key=lambda r: (str(r[0]), r[2], r[1]))
-    labels = np.array([r[2] for r in rows], np.float64)
-    counts = [term_counts(r[1] or "") for r in rows]
+def choose_vocabulary(counts: list[dict], labels: np.ndarray) -> list[str]:
+    """Terms associated with the label: in enough examples, with enough chi-square. However many there are, all are kept."""
     with_term: list[Counter] = [Counter(), Counter()]
     for c, y in zip(counts, labels, strict=True):
         with_term[int(y)].update(c.keys())
-    n1, n0 = labels.sum(), len(rows) - labels.sum()
-    associated = []
-    for t in sorted(set(with_term[0]) | set(with_term[1])):
+    n1, n0 = labels.sum(), len(labels) - labels.sum()
+    chosen = []
+    for t in sorted(set(with_term[0]) | set(with_term[1])) if n1 and n0 else []:
         a, b = with_term[1][t], with_term[0][t]
-        if a + b < MIN_EXAMPLES_OF_TERM or not n1 or not n0:
-            continue
         c, d = n1 - a, n0 - b
-        chi = len(rows) * (a * d - b * c) ** 2 / max(1e-9, (a + b) * (c + d) * n1 * n0)
-        if chi >= MIN_ASSOCIATION:
-            associated.append((-chi, t, a + b))
-    chosen = sorted(associated)[:TERMS]
-    vocabulary = {t: i for i, (_, t, _) in enumerate(chosen)}
-    idf = np.array([np.log(1 + len(rows) / df) for _, _, df in chosen]) if chosen else np.zeros(0)
+        if a + b >= MIN_EXAMPLES_OF_TERM and len(labels) * (a * d - b * c) ** 2 >= MIN_ASSOCIATION * max(1e-9, (a + b) * (c + d) * n1 * n0):
+            chosen.append(t)
+    return chosen
+
+
+def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
+    """(documents that have each term, documents) over all of ``docs``; each task sends one row for each term at most."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache: dict = {}
+        found, n = np.zeros(len(vocabulary) + 1, np.int64), 0
+        for batch in batches:
+            for text in batch["text"]:
+                if len(cache) > CACHE_WORDS:
+                    cache.clear()
+                for t in term_counts(text or "", cache, vocabulary):
+                    found[t] += 1
+            n += len(batch)
+        found[-1] = n
+        at = np.flatnonzero(found)
+        yield pd.DataFrame({"term": at, "n": found[at]})
+
+    total = np.zeros(len(vocabulary) + 1, np.int64)
+    for r in docs.select("text").mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        total[r["term"]] = r["n"]
+    return total[:-1], int(total[-1])
+
+
+def fit_toxicity(rows: list[tuple[object, str, int]], sizes: dict[int, int], frequencies: Callable[[dict[str, int]], tuple[np.ndarray, int]] | None = None) -> ToxicityModel:
+    """``rows`` (id, text, label) are the sampled examples, ``sizes`` the number of labelled rows of each label, ``frequencies`` counts
+    the documents that have the terms of a vocabulary (without it, those of the sample)."""
+    rows = sorted(rows, key=lambda r: (str(r[0]), r[2], r[1]))
+    labels = np.array([r[2] for r in rows], np.float64)
+    counts = [term_counts(r[1] or "") for r in rows]
+    n1, n0 = labels.sum(), len(rows) - labels.sum()
+    vocabulary = {t: i for i, t in enumerate(choose_vocabulary(counts, labels))}
+    if frequencies is None or not vocabulary:
+        have = Counter(t for c in counts for t in c)
+        df, n_docs = np.array([have[t] for t in vocabulary], np.float64), len(rows)
+    else:
+        df, n_docs = frequencies(vocabulary)
+    idf = np.log(1 + n_docs / np.maximum(df, 1))
     total = sizes.get(0, 0) + sizes.get(1, 0)
     prior = sizes.get(1, 0) / total if total else 0.0
     model = ToxicityModel(vocabulary, idf, BlockMaxIndex.build([], len(vocabulary)), labels, [r[0] for r in rows], prior, (0.0, 1.0))
@@ -188,15 +228,20 @@ def fit_toxicity(rows: list[tuple[object, str, int]], sizes: dict[int, int]) ->
     return model
 
 
-def train_toxicity(labelled: DataFrame, examples: int = EXAMPLES) -> ToxicityModel:
-    """``labelled`` has doc_id, text, toxic; about ``examples`` rows of each label are used, those with the lowest hashes."""
-    rows = labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    uniform = F.pmod(F.xxhash64(F.lit("toxicity-sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.when(F.col("toxic") == 1, F.lit(min(1.0, examples / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, examples / max(1, sizes.get(0, 0)))))
-    # The bound holds for any keys: rows beyond twice the expected number (repeated keys) are left out of the fit.
-    sample = rows.where(uniform < rate).limit(4 * examples).collect()
-    return fit_toxicity([(r["doc_id"], r["text"] or "", r["toxic"]) for r in sample], sizes)
+def train_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> ToxicityModel:
+    """Fit on ``docs`` (doc_id, text: the documents to learn from) and ``labels`` (doc_id, toxic).
+
+    The sample is drawn from the labels alone: the ``examples`` keys of each label with the least hashes. Their texts, one for each key,
+    are fetched by a join with these keys, so no text is shuffled. A key with both labels counts as toxic; labels other than 0 and 1 and
+    null keys are left out."""
+    spark = docs.sparkSession
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    order = F.xxhash64(F.lit("toxicity-sample"), "doc_id")
+    chosen = [r for y in (0, 1) for r in known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(examples).collect()]
+    keys = spark.createDataFrame(chosen, known.schema)  # at most 2 * examples rows
+    sample = docs.join(F.broadcast(keys), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()
+    return fit_toxicity([(r["doc_id"], r["text"], r["toxic"]) for r in sample], sizes, lambda vocabulary: document_frequencies(docs, vocabulary))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, with_evidence: bool = False) -> DataFrame:
@@ -213,7 +258,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, with_evidence: bool =
         for batch in batches:
             scores, evidence = [], []
             for text in batch["text"]:
-                if len(cache) > 500_000:
+                if len(cache) > CACHE_WORDS:
                     cache.clear()
                 s, found, cosines = model.judge(text or "", cache)
                 scores.append(s)
@@ -232,6 +277,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, with_evidence: bool =
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.pmod(crc_of_id(), F.lit(3)) == 1
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = train_toxicity(docs.where(~held_out).join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    model = train_toxicity(docs.where(~held_out), labels)
     return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
