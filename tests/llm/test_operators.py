@@ -103,6 +103,14 @@ def test_quality(spark, docs, empty, rows):
     assert quality.score_quality(empty).count() == 0 and quality.keep_good(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [20, 62])
+def test_repeats_where_hashes_collide(spark, bits, monkeypatch):
+    monkeypatch.setattr(quality, "POSITION_BITS", (bits, bits))  # 62: two bits of the hashes are left, so most windows collide
+    texts = [prose(i, 90, words=9) + (" " + prose(i, 20, words=9)) * 2 for i in range(20)]
+    out = quality.score_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().sort_values("doc_id")
+    assert list(out["n_repeat_words"]) == [brute_quality(t)[4] for t in texts]
+
+
 def test_vote_model_finds_the_bad_rule():
     patterns = [((1, 1, 1), 900), ((-1, -1, 1), 80), ((0, 1, 1), 20)]
     m = quality.fit_votes(patterns, ("a", "b", "c"))
@@ -127,6 +135,25 @@ def brute_contamination(text, items, n=10):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
+@pytest.mark.parametrize("broadcast", [decontamination.BROADCAST_BYTES, -1])
+def test_decontamination_by_either_join(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", broadcast)
+    tail = " one two three four five six seven eight"
+    data = [(1, "\u0391\u03a3'\u0392" + tail), (2, "a \u0391\u03a3-\u0392" + tail + " b"), (3, None), (4, ""), (5, prose(2, 300)), (5, prose(2, 300)), (None, "x" + tail)]
+    items = [(1, "\u0391\u03a3 \u0392" + tail), (2, " ".join(prose(2, 300).split()[50:80])), (None, "x" + tail), (4, "seven eight"), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in data], "doc_id long, text string, _bad_id long, bad_id long")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    out = decontamination.find_contamination(docs, table).toPandas()
+    named = [(k, t) for k, t in items if k is not None]
+    want = Counter()
+    for _, t in data:
+        n, hit, _, _, bad = brute_contamination(t, items)
+        want[(n, hit, *brute_contamination(t, named)[2:4], bad)] += 1
+    assert Counter(zip(*[out[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")], strict=True)) == want
+    left = decontamination.drop_contaminated(docs, table)
+    assert left.columns == docs.columns and left.count() == sum(n for k, n in want.items() if not k[4])
+
+
 def test_decontamination(spark, docs, empty, rows):
     words = prose(2, 5000).split()
     items = [(1, " ".join(words[40:62])), (2, "Ein TEXT ohne"), (3, None), (4, ""), (5, " ".join(words[50:60])), (6, "é"), (7, "É")]
@@ -160,9 +187,9 @@ def test_bpe_random_bytes(encoding):
     r = random.Random(5)
     words = ["".join(r.choice("ab eéßthx  \n12'") for _ in range(r.randint(1, 40))) for _ in range(500)] + ["x" * 5000, "<|endoftext|>", "日本語" * 50]
     codec = bpe.Codec(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
-    for text, ids in zip(words, codec.encode(words), strict=True):
+    for text, (ids, decoded) in zip(words, codec.run(words), strict=True):
         assert [int(i) for i in ids.split()] == encoding.encode_ordinary(text)
-        assert codec.decode(ids) == text.encode()
+        assert decoded == text.encode()
     assert bpe.replay_merges([], ranks) == []
 
 
@@ -223,16 +250,28 @@ def test_viterbi_is_optimal():
 def test_toxicity(spark, docs, empty):
     data = [(i, prose(i, 60) + (" vile idiot" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
     labelled = spark.createDataFrame(data, "doc_id long, text string, toxic int")
-    model = toxicity.train_toxicity(labelled)
+    model = toxicity.train_toxicity(labelled.drop("toxic"), labelled.select("doc_id", "toxic"))
     fresh = spark.createDataFrame([(1, prose(900, 80) + " you vile idiot"), (2, prose(901, 80)), (3, None), (3, "")], "doc_id long, text string")
     out = toxicity.score_toxicity(fresh, model, with_evidence=True).toPandas()
     assert list(out["predicted"]) == [1, 0, 0, 0] and out["score"].between(0, 1).all()
     assert all(e["toxic"] == 1 for e in out["evidence"][0])
     assert toxicity.score_toxicity(empty, model).count() == 0
-    none = toxicity.train_toxicity(labelled.where("false"))
+    none = toxicity.train_toxicity(labelled.drop("toxic"), labelled.select("doc_id", "toxic").where("false"))
     assert toxicity.score_toxicity(docs, none).count() == docs.count()
 
 
+def test_toxicity_sample_is_bounded_and_repeats_do_not_matter(spark):
+    data = [(i, prose(i, 40) + (" vile idiot" if i % 2 else ""), int(i % 2)) for i in range(120)]
+    table = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    texts, labels = table.drop("toxic"), table.select("doc_id", "toxic")
+    a = toxicity.train_toxicity(texts, labels, examples=20)
+    b = toxicity.train_toxicity(texts.union(texts), labels.union(labels), examples=20)
+    assert len(a.labels) == 40 and a.labels.sum() == 20 and a.ids == b.ids
+    df, n = toxicity.document_frequencies(texts, a.vocabulary)
+    want = Counter(t for _, x, _ in data for t in set(toxicity.term_counts(x)))
+    assert n == 120 and {t: df[i] for t, i in a.vocabulary.items()} == {t: want[t] for t in a.vocabulary}
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     vectors = []
@@ -378,14 +417,59 @@ def test_lm(spark, docs, empty, rows):
     want = Counter((len(words(r[1])), sum(counts[w] > 0 for w in words(r[1])), n, held(r[0]), round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words(r[1])), 6)) for r in rows)
     got = Counter(zip(out["n_tokens"], out["n_known"], out["train_tokens"], out["held_out"], out["base_score"].round(6), strict=True))
     assert got == want
-    assert (out["score"] < 0).all()
+    assert (out["score"] <= 0).all()
     assert lm.score_documents(empty.select("doc_id", "text"), "true").count() == 0
-
-
-def test_tree_is_a_distribution():
-    trained = [lm.tokens(prose(i, 200)) for i in range(20)]
-    codes, counts = np.unique(lm.grams(*lm.symbols(trained)), return_counts=True)
-    tree = lm.fit_tree(codes, counts)
-    seen = len(tree.log_p[0]) - 1
-    total = (10.0 ** tree.log_p[:, :seen].astype(float)).sum(1) + (256 - seen) * 10.0 ** tree.log_p[:, seen].astype(float)
-    assert np.allclose(total, 1, atol=1e-4) and len(total) > 10
+    none = lm.score_documents(docs.select("doc_id", "text"), "false").toPandas()
+    assert (none["score"] == 0).all() and (none["n_known"] == 0).all()
+
+
+def brute_lm(data, learn):
+    """log10 probability of each text by the definitions, with plain dictionaries."""
+    words = [[*(t or "").encode().lower().split(), b"\n"] for _, t in data]
+    grams = [Counter(), Counter(), Counter()]
+    for ws, use in zip(words, learn, strict=True):
+        for k in range(3):
+            grams[k].update(tuple(ws[i - k : i + 1]) for i in range(k, len(ws)) if use)
+    n, v = sum(grams[0].values()), len(grams[0])
+
+    def p(context, w, left_out=0):
+        if not context:
+            return (grams[0][(w,)] + 1) / (n + v + 1)
+        count = lambda g: max(0, grams[len(g) - 1][g] - left_out)
+        return (count((*context, w)) + lm.ALPHA * p(context[1:], w, left_out)) / (count(context) + lm.ALPHA)
+
+    gain: Counter = Counter()
+    for ws, use in zip(words, learn, strict=True):
+        for i in range(len(ws)):
+            for k in (1, 2):
+                if use and i >= k:
+                    gain[tuple(ws[i - k : i])] += math.log(p(tuple(ws[i - k : i]), ws[i], 1)) - math.log(p(tuple(ws[i - k + 1 : i]), ws[i], 1))
+    states = {s for s, g in gain.items() if g >= lm.MIN_GAIN and grams[len(s) - 1][s] >= lm.MIN_CONTEXT}
+    out = []
+    for ws in words:
+        contexts = [next(s for k in (2, 1, 0) if i >= k and ((s := tuple(ws[i - k : i])) in states or not k)) for i in range(len(ws))]
+        out.append(sum(math.log10(p(s, w)) for s, w in zip(contexts, ws, strict=True)))
+    return out, states
+
+
+@pytest.mark.parametrize("block_docs", [lm.BLOCK_DOCS, 3])
+def test_lm_against_brute_force(spark, block_docs, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_DOCS", block_docs)
+    data = [(i, prose(i % 30, 30 + i, words=40)) for i in range(60)] + [(60, None), (61, ""), (62, "never seen words")]
+    learn = [zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in data]
+    want, states = brute_lm(data, learn)
+    assert {len(s) for s in states} == {1, 2}
+    out = lm.score_documents(spark.createDataFrame(data, "doc_id long, text string"), "pmod(_crc, 7) <> 2").toPandas().sort_values("doc_id")
+    assert np.allclose(out["score"], want, atol=1e-4)
+
+
+def test_lm_states_are_distributions():
+    data = [(i, prose(i % 4, 60, words=12)) for i in range(12)]
+    vocabulary = sorted({w for _, t in data for w in t.split()}) + ["\n", "unknown"]
+    counts = Counter(w for _, t in data for w in [*t.split(), "\n"])
+    n, v = sum(counts.values()), len(counts)
+    pairs = Counter(p for _, t in data for p in zip(t.split(), [*t.split()[1:], "\n"], strict=True))
+    base = {w: (counts[w] + 1) / (n + v + 1) for w in vocabulary}
+    assert abs(sum(base.values()) - 1) < 1e-9
+    for s in vocabulary[:5]:
+        assert abs(sum((pairs[s, w] + lm.ALPHA * base[w]) / (counts[s] + lm.ALPHA) for w in vocabulary) - 1) < 1e-9

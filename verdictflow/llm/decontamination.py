@@ -2,7 +2,7 @@
 
 Windows are looked up by a 64-bit hash and every hit is checked word by word, so a hash collision costs time and never a result.
 All work is DataFrame functions. The benchmark side is broadcast only while its measured size is below ``BROADCAST_BYTES``;
-beyond that the same join runs as a shuffle join.
+beyond that a shuffle join of slim rows (text key, place, hash) finds the places and the texts are fetched once to verify them.
 """
 
 from __future__ import annotations
@@ -10,24 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdictflow.llm.common import materialize, table, text_or_empty
+from verdictflow.llm.common import fresh, materialize, table, text_or_empty
 
 WINDOW = 10
 #: Text bytes of the benchmark up to which its windows (about eight times as many bytes) are broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Contaminated rows up to which their keys (some 60 bytes each) are broadcast.
+BROADCAST_ROWS = 1 << 19
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def fold(text: Column) -> Column:
-    """Lower-case A-Z only. ``lower`` is far cheaper than ``translate`` and does the same on ASCII text."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-
-
 def loose_words(text: Column) -> Column:
     """Words under full lower-casing. That never moves a word's bounds within the word class, so word positions equal the exact ones;
-    words that differ only in the case of non-ASCII letters fall together here and are told apart when hits are verified."""
-    return F.array_remove(F.split(F.regexp_replace(F.lower(text), NOT_WORD, " "), " "), "")
+    words that differ only in the case of non-ASCII letters fall together here and are told apart when hits are verified.
+
+    Capital sigma is the one letter whose lower case depends on its neighbours, those of other words among them; it is lowered first, so
+    equal exact words are always equal here."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(F.replace(text, F.lit("\u03a3"), F.lit("\u03c3"))), NOT_WORD, " "), " "), "")
 
 
 def exact_words(text: Column) -> Column:
@@ -63,21 +63,31 @@ def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
     windows = materialize(windows.withColumn("window_id", F.md5(F.concat_ws(" ", "words").cast("binary"))), "windows")
     facts = windows.agg(F.coalesce(F.sum(F.lit(8) * (F.octet_length(F.concat_ws(" ", "words")) + 40)), F.lit(0)).alias("bytes"), F.sort_array(F.collect_set("len")).alias("lengths")).first()
     lengths = facts["lengths"] or [window]  # at most ``window`` values
-    distinct = windows.select("window_id", "len", "words", "hash").distinct()
-    if facts["bytes"] <= 8 * BROADCAST_BYTES:
-        distinct = F.broadcast(distinct)
-
-    words = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", F.monotonically_increasing_id().alias("row"), "text", loose_words(F.col("text")).alias("w"))
+    distinct = windows.select("window_id", F.col("len").alias("w_len"), "words", F.col("hash").alias("w_hash")).distinct()
+    same = (F.col("hash") == F.col("w_hash")) & (F.col("len") == F.col("w_len"))
+    verified = F.slice(exact_words(F.col("text")), F.col("pos") + 1, F.col("len")) == F.col("words")
     arrays = []
     for n in lengths:
         ahead = ", ".join([str(n), "x", *[f"get(w, i + {k})" for k in range(1, n)]])
         arrays.append(f"transform(slice(w, 1, greatest(size(w) - {n - 1}, 0)), (x, i) -> struct({n} as len, cast(i as int) as pos, xxhash64({ahead}) as hash))")
-    # The outer form: for the inner one Spark infers a filter on the array, pushes it below ``w`` and cuts the text anew for every word.
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    rows = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), "text", loose_words(F.col("text")).alias("w"))
     head = "array(struct(0 as len, -1 as pos, cast(null as bigint) as hash))"
-    scan = words.select("doc_id", "row", "text", F.size("w").alias("n_words"), F.expr(f"inline_outer(concat({', '.join([head, *arrays])}))"))
-    joined = scan.join(distinct.withColumnsRenamed({"len": "w_len", "hash": "w_hash"}), (F.col("hash") == F.col("w_hash")) & (F.col("len") == F.col("w_len")), "left")
-    joined = joined.where((F.col("pos") < 0) | (F.col("window_id").isNotNull() & (F.slice(exact_words(F.col("text")), F.col("pos") + 1, F.col("len")) == F.col("words"))))
-    return joined.select("row", "doc_id", "n_words", "pos", "len", "window_id"), windows.select("window_id", "item_id").distinct()
+    if facts["bytes"] <= 8 * BROADCAST_BYTES:
+        # The outer form: for the inner one Spark infers a filter on the array, pushes it below ``w`` and cuts the text anew for every word.
+        scan = rows.select("doc_id", "row", "text", F.size("w").alias("n_words"), F.expr(f"inline_outer(concat({', '.join([head, *arrays])}))"))
+        joined = scan.join(F.broadcast(distinct), same, "left").where((F.col("pos") < 0) | (F.col("window_id").isNotNull() & verified))
+        return joined.select("row", "doc_id", "n_words", "pos", "len", "window_id"), windows.select("window_id", "item_id").distinct()
+    digest = F.unhex(F.md5(F.col("text").cast("binary")))
+    slim = rows.select(digest.alias("key"), F.expr(f"inline_outer(concat({', '.join(arrays)}))")).where("hash is not null")
+    places = slim.join(distinct, same).select("key", "pos", "len", "window_id", "words").distinct()  # equal texts have the same places
+    listed = places.groupBy("key").agg(F.collect_list(F.struct("pos", "len", "window_id", "words")).alias("p"))
+    keyed = materialize(rows.select("doc_id", "row", F.size("w").alias("n_words"), digest.alias("key")), "rows")
+    one = texts.select(digest.alias("key"), "text").join(listed, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("p").alias("p"))
+    hits = one.select("key", "text", F.explode("p").alias("h")).select("key", "text", "h.*").where(verified).select("key", "pos", "len", "window_id")
+    of_rows = keyed.join(hits, "key").select("row", "doc_id", "n_words", "pos", "len", "window_id")
+    heads = keyed.select("row", "doc_id", "n_words", F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("window_id"))
+    return heads.union(of_rows), windows.select("window_id", "item_id").distinct()
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -119,12 +129,21 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` in which no window of an item occurs, columns unchanged. Rows are told apart by doc_id and text."""
-    keys = docs.select(F.col("doc_id"), F.col("text"))
-    hits, _ = window_hits(keys.withColumn("doc_id", F.struct("doc_id", F.sha2(text_or_empty().cast("binary"), 256).alias("digest"))), items, window)
-    bad = hits.where("pos >= 0").select(F.col("doc_id.doc_id").alias("_bad_id"), F.col("doc_id.digest").alias("_bad_digest")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256) == F.col("_bad_digest"))
-    return docs.join(bad, same, "left_anti")
+    """The rows of ``docs`` in which no window of an item occurs, columns unchanged. Rows are told apart by doc_id and text.
+
+    * Rows with a null or empty text have no words and stay, as all rows do if the benchmark is empty or has no words.
+    * Repeated rows stay or go together; an empty table stays empty; columns may have any names.
+    * The keys of what goes are broadcast if they are few when counted (``BROADCAST_ROWS``), so no text is shuffled; beyond that the
+      anti join shuffles both sides."""
+    bad_id, bad_digest = fresh(docs, "bad_id", "bad_digest")
+    digest = F.unhex(F.md5(text_or_empty().cast("binary")))
+    slim = docs.select(F.struct(F.col("doc_id"), digest.alias("digest")).alias("doc_id"), F.col("text"))
+    hits, _ = window_hits(slim, items, window)
+    bad = hits.where("pos >= 0").select(F.col("doc_id.doc_id").alias(bad_id), F.col("doc_id.digest").alias(bad_digest)).distinct()
+    bad = materialize(bad, "contaminated")
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col(bad_id)) & (digest == F.col(bad_digest)), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,44 +1,46 @@
-"""Language-model scores by a probabilistic suffix tree over bytes.
-
-Training counts every next byte after every context of up to ``DEPTH`` bytes. A context becomes a state if it is frequent and its
-next-byte distribution diverges from that of its parent (the context without its first byte); distributions are smoothed towards
-the parent's. Bytes are scored from the longest state that is a suffix of what came before. The tree is in turn what the corpus
-counts of whole tokens are smoothed towards: P(w) = (c(w) + V * P_tree(w)) / (N + V), so words never seen still get what their
-bytes are worth and the probabilities of all possible tokens sum to 1.
-
-Counts travel as packed arrays: one row for each (block of documents, bucket of keys), merged bucket by bucket. The exact counts of
-a block's words come back to that block, so no vocabulary is ever broadcast; only the tree, of bounded size, is.
+"""Language-model scores by a probabilistic suffix tree over words.
+
+A context is the ``DEPTH`` words before a token or fewer, never reaching across a document's start. The empty context has the corpus
+distribution P(w) = (c(w) + 1) / (N + V + 1), with one symbol for all words never seen. A longer context s is smoothed towards the
+context without its first word, P_s(w) = (c(s, w) + ALPHA * P_shorter(w)) / (c(s) + ALPHA), and becomes a state of the tree if it
+occurs ``MIN_CONTEXT`` times or more in training and passes the divergence test: its distribution must predict what followed it better
+than the shorter context's by ``MIN_GAIN`` nats, summed over all its occurrences, each of them predicted from the others. A token is
+scored from the longest state that is a suffix of what came before. All thresholds are absolute, so the states grow with the corpus,
+and each state's probabilities sum to 1.
+
+The tree is never whole in one place. Documents are packed into blocks, each one row of word numbers. A block sends the counts of its
+own words and word pairs (then of triples, then of the gains of its contexts) as packed arrays, one for each bucket of keys; a bucket
+adds up what all blocks sent and answers each block with the totals of that block's own keys. Three such rounds give every block the
+part of the tree that its documents need. Nothing but N, V and the number of documents reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictflow.llm.common import crc_of_id, materialize, table
-
-DEPTH = 5
-#: Documents of one block: the unit that is counted and scored together.
-BLOCK_DOCS = 1024
-#: Bounds of the tree: grams and contexts considered (by count thresholds that follow the input, so at most so many of each length
-#: can pass) and states kept (by evidence).
-MAX_GRAMS = 6_000_000
-MAX_STATES = 30_000
-MIN_CONTEXT = 32
-MAX_CONTEXTS = 150_000
-#: Least log likelihood gain (nats) of a state over its parent on the training text: the divergence test.
-MIN_GAIN = 12.0
-SPACE, END = 0x20, 0x0A
+from verdictflow.llm.common import materialize, table
+
+#: Longest context, in words.
+DEPTH = 2
+#: Fewest occurrences of a context, and least log likelihood gain (nats) over the shorter one: the divergence test.
+MIN_CONTEXT, MIN_GAIN = 2, 2.0
+#: Weight of the shorter context's distribution, in occurrences.
+ALPHA = 1.5
+#: A block of documents ends at so many documents or bytes of text, whichever comes first.
+BLOCK_DOCS, BLOCK_BYTES = 4096, 4 << 20
+#: Documents in a bucket of keys, on average: buckets grow in number with the corpus and not in size.
+BUCKET_DOCS = 2048
 END_KEY = np.uint64(xxhash.xxh3_64_intdigest(b" end"))  # no word holds a space
-LOG10 = np.log(10.0)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+LOG10 = float(np.log(10.0))
 
 
 def tokens(text: str) -> list[bytes]:
@@ -46,155 +48,193 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def keys_of(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter(map(digest, words), np.uint64, len(words))
-
-
-def symbols(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all documents, each as its words with a space after each and one end byte, and where each starts."""
-    parts = [b" ".join([*ws, b"\n"]) for ws in docs]
-    starts = np.cumsum([0, *map(len, parts)])[:-1]
-    return np.frombuffer(b"".join(parts), np.uint8), starts
-
-
-def grams(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each position the DEPTH bytes before it and its own byte as one number; before a document's start stands END."""
-    code = data.astype(np.uint64)
-    first = np.zeros(len(data), np.int64)
-    first[starts] = 1
-    since = np.arange(len(data)) - starts[np.cumsum(first) - 1] if len(data) else np.zeros(0, np.int64)
-    for d in range(1, DEPTH + 1):
-        before = np.full(len(data), END, np.uint64)
-        before[d:] = data[:-d]
-        before[since < d] = END
-        code |= before << np.uint64(8 * d)
-    return code
-
-
-def merge_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return keys.astype(np.uint64), counts.astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.add.reduceat(counts, at)
-
-
-@dataclass
-class SuffixTree:
-    """``child[state, symbol]``: the state of the context one byte longer to the left, or -1. ``log_p[state, symbol]``: log10."""
-
-    symbol_of: np.ndarray  # byte -> column
-    child: np.ndarray
-    log_p: np.ndarray
-
-    def score(self, docs: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each token of the documents (lists of words), one after another, ends included."""
-        data, starts = symbols(docs)
-        if not len(data):
-            return np.zeros(0)
-        x = self.symbol_of[data]
-        end = self.symbol_of[END]
-        first = np.zeros(len(data), np.int64)
-        first[starts] = 1
-        since = np.arange(len(data)) - starts[np.cumsum(first) - 1]
-        state = np.zeros(len(data), np.int32)
-        live = np.arange(len(data))
-        for d in range(1, DEPTH + 1):
-            before = np.where(since[live] >= d, x[np.maximum(live - d, 0)], end)
-            longer = self.child[state[live], before]
-            ok = longer >= 0
-            live = live[ok]
-            state[live] = longer[ok]
-        closes = (data == SPACE) | (data == END)
-        return np.add.reduceat(self.log_p[state, x].astype(np.float64), np.concatenate([[0], np.flatnonzero(closes)[:-1] + 1]))
-
-
-def fit_tree(codes: np.ndarray, counts: np.ndarray, max_states: int = MAX_STATES, min_gain: float = MIN_GAIN) -> SuffixTree:
-    """The tree from (context and byte) codes and their counts."""
-    seen = np.unique(np.concatenate([np.array([SPACE, END], np.uint64), codes & np.uint64(255), (codes >> np.uint64(8)) & np.uint64(255)])).astype(np.int64)
-    symbol_of = np.full(256, len(seen), np.int64)  # one column for all bytes never seen
-    symbol_of[seen] = np.arange(len(seen))
-    width = len(seen) + 1
-    unseen = 256 - len(seen)
-    nxt = symbol_of[(codes & np.uint64(255)).astype(np.int64)]
-
-    # Next-symbol counts of every context, by length; contexts are the low 8 * d bits above the symbol.
-    contexts: list[np.ndarray] = []
-    tables: list[np.ndarray] = []
-    for d in range(DEPTH + 1):
-        ctx = (codes >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1) if d else np.zeros(len(codes), np.uint64)
-        total_keys, total = merge_counts(ctx, counts)
-        keep = total_keys[total >= max(MIN_CONTEXT, total.sum() / MAX_CONTEXTS)] if d else np.zeros(1, np.uint64)
-        at = np.searchsorted(keep, ctx)
-        inside = (at < len(keep)) & (keep[np.minimum(at, max(0, len(keep) - 1))] == ctx) if len(keep) else np.zeros(len(ctx), bool)
-        t = np.zeros((len(keep), width), np.float32)
-        np.add.at(t, (at[inside], nxt[inside]), counts[inside])
-        contexts.append(keep)
-        tables.append(t)
-
-    # Smoothed distributions from the root down, with the gain of each context over its parent.
-    root = (tables[0] + 1.0) / (tables[0].sum() + 256)
-    root[:, -1] = 1.0 / (tables[0].sum() + 256)  # for each single unseen byte
-    if not unseen:
-        root[:, -1] = 1e-300
-    dists, gains, parents = [root], [np.full(1, np.inf)], [np.zeros(1, np.int64)]
-    for d in range(1, DEPTH + 1):
-        up = contexts[d] & np.uint64((1 << (8 * (d - 1))) - 1)
-        parent = np.searchsorted(contexts[d - 1], up)
-        n = tables[d]
-        prior = dists[d - 1][parent]
-        kinds = (n > 0).sum(1, keepdims=True)
-        dist = (n + kinds * prior) / (n.sum(1, keepdims=True) + kinds)
-        gains.append((n * np.log(dist / prior)).sum(1))
-        dists.append(dist)
-        parents.append(parent)
-
-    # Divergence test, then the best states within the bound; a state's parents come with it.
-    wanted = [g >= min_gain for g in gains]
-    everything = np.sort(np.concatenate([g[w] for g, w in zip(gains[1:], wanted[1:], strict=True)] or [np.zeros(0)]))[::-1]
-    if len(everything) > max_states:
-        wanted = [w & (g >= everything[max_states - 1]) for g, w in zip(gains, wanted, strict=True)]
-    for d in range(DEPTH, 0, -1):
-        wanted[d - 1][parents[d][wanted[d]]] = True
-    number = []
-    base = 0
-    for w in wanted:
-        ids = np.full(len(w), -1, np.int64)
-        ids[w] = base + np.arange(w.sum())
-        base += int(w.sum())
-        number.append(ids)
-    child = np.full((base, width), -1, np.int32)
-    for d in range(1, DEPTH + 1):
-        w = np.flatnonzero(wanted[d])
-        farthest = symbol_of[((contexts[d][w] >> np.uint64(8 * (d - 1))) & np.uint64(255)).astype(np.int64)]
-        child[number[d - 1][parents[d][w]], farthest] = number[d][w]
-    # Contexts before which every byte is unknown keep their parent: the last column stays -1.
-    log_p = np.concatenate([np.log(dist[w]) / LOG10 for dist, w in zip(dists, wanted, strict=True)])
-    return SuffixTree(symbol_of, child, log_p.astype(np.float32))
-
-
-def _blocks(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows of each block: blocks follow one another within a partition."""
-    rows = (r for b in batches for r in zip(*[b[c] for c in columns], strict=True))
-    for block, found in groupby(rows, key=lambda r: r[0]):
-        yield int(block), list(found)
-
-
-def _spread(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of each key, from its high bits mixed once more (counted byte contexts are not hashes)."""
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % buckets
-
-
-def _packed(kind: str, block: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """Rows (kind, bucket, block, keys, counts); within a bucket keys ascend."""
-    order = np.lexsort((keys, _spread(keys, buckets)))
-    keys, counts = keys[order], counts[order]
-    b = _spread(keys, buckets)
-    at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
-    for s, e in zip(at.tolist(), [*at[1:].tolist(), len(b)], strict=True):
-        yield kind, int(b[s]), block, keys[s:e].tobytes(), counts[s:e].astype(np.uint32).tobytes()
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of strings of words ``a`` with one more word ``b``."""
+    h = ((a ^ (a >> np.uint64(32))) * MIX + b) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+class Block(NamedTuple):
+    """Some documents: ``words`` are the keys of their distinct words, ``seq`` the words (and ends) as places in it, ``since`` how many
+    words of the document came before each token, ``train`` whether its document is learned from."""
+
+    lengths: np.ndarray
+    train_docs: np.ndarray
+    words: np.ndarray
+    seq: np.ndarray
+    since: np.ndarray
+    train: np.ndarray
+
+    @classmethod
+    def of(cls, lengths: bytes, train: bytes, words: bytes, seq: bytes) -> Block:
+        n, t = np.frombuffer(lengths, np.int32).astype(np.int64), np.frombuffer(train, np.uint8).astype(bool)
+        at = np.frombuffer(seq, np.uint32).astype(np.int64)
+        since = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        return cls(n, t, np.frombuffer(words, np.uint64), at, since, np.repeat(t, n))
+
+
+class Grams(NamedTuple):
+    """Strings of two or more words in a block. ``at`` are the tokens that end one, ``of`` its number for each of them, ``keys`` the
+    distinct ones in ascending order."""
+
+    at: np.ndarray
+    of: np.ndarray
+    keys: np.ndarray
+
+    @classmethod
+    def ending(cls, at: np.ndarray, keys: np.ndarray) -> Grams:
+        found, of = np.unique(keys, return_inverse=True)
+        return cls(at, of.astype(np.int64), found)
+
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of[train[self.at]], minlength=len(self.keys)).astype(np.int64)
+
+
+def pairs_of(b: Block) -> Grams:
+    at = np.flatnonzero(b.since >= 1)
+    return Grams.ending(at, joined(b.words[b.seq[at - 1]], b.words[b.seq[at]]))
+
+
+def triples_of(b: Block, pairs: Grams, pair_counts: np.ndarray) -> Grams:
+    """Triples whose context was seen often enough to be a state and whose last two words were seen together at all."""
+    number = np.full(len(b.seq), -1, np.int64)
+    number[pairs.at] = pairs.of
+    at = np.flatnonzero(b.since >= 2)
+    at = at[(pair_counts[number[at - 1]] >= MIN_CONTEXT) & (pair_counts[number[at]] > 0)]
+    return Grams.ending(at, joined(pairs.keys[number[at - 1]], b.words[b.seq[at]]))
+
+
+class Scores(NamedTuple):
+    """log probabilities (natural) of each token of a block by context length, whether its contexts were seen often enough, and their
+    numbers (of words and of pairs)."""
+
+    base: np.ndarray
+    one: np.ndarray
+    two: np.ndarray
+    has_one: np.ndarray
+    has_two: np.ndarray
+    context_one: np.ndarray
+    context_two: np.ndarray
+
+
+def probabilities(b: Block, word_counts: np.ndarray, pairs: Grams, pair_counts: np.ndarray, triples: Grams, triple_counts: np.ndarray, n: int, v: int, left_out: int = 0) -> Scores:
+    """``left_out`` is 1 to score each training token as if its own occurrence had not been counted in its contexts."""
+    base = np.log((word_counts[b.seq] + 1.0) / (n + v + 1.0))
+    number = np.full(len(b.seq), -1, np.int64)
+    number[pairs.at] = pairs.of
+    context_one = np.full(len(b.seq), -1, np.int64)
+    context_one[pairs.at] = b.seq[pairs.at - 1]
+    context_two = np.full(len(b.seq), -1, np.int64)
+    late = np.flatnonzero(b.since >= 2)
+    context_two[late] = number[late - 1]
+    c1 = np.where(context_one >= 0, word_counts[context_one], 0)
+    c2 = np.where(context_two >= 0, pair_counts[context_two], 0)
+    followed1 = np.where(number >= 0, pair_counts[number], 0)
+    followed2 = np.zeros(len(b.seq), np.int64)
+    followed2[triples.at] = triple_counts[triples.of]
+    less = lambda count: np.maximum(count - left_out, 0)
+    one = np.log((less(followed1) + ALPHA * np.exp(base)) / (less(c1) + ALPHA))
+    two = np.log((less(followed2) + ALPHA * np.exp(one)) / (less(c2) + ALPHA))
+    return Scores(base, one, two, c1 >= MIN_CONTEXT, c2 >= MIN_CONTEXT, context_one, context_two)
+
+
+def gains(context: np.ndarray, longer: np.ndarray, shorter: np.ndarray, use: np.ndarray, size: int) -> np.ndarray:
+    """Log likelihood gain of each context over the shorter one on the tokens ``use``."""
+    return np.bincount(context[use], (longer - shorter)[use], size)
+
+
+def chosen(s: Scores, state_one: np.ndarray, state_two: np.ndarray) -> np.ndarray:
+    """log probability of each token from the longest state."""
+    one = s.has_one & np.where(s.context_one >= 0, state_one[s.context_one], False)
+    two = s.has_two & np.where(s.context_two >= 0, state_two[s.context_two], False)
+    return np.where(two, s.two, np.where(one, s.one, s.base))
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys * MIX) >> np.uint64(40)).astype(np.int64) % buckets
+
+
+def packed(kind: str, block: int, keys: np.ndarray, values: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Rows (kind, bucket, block, keys, values): in each bucket the keys in their own order."""
+    bucket = bucket_of(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    keys, values, bucket = keys[order], values[order], bucket[order]
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    for a, z in zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=True):
+        yield kind, int(bucket[a]), block, keys[a:z].tobytes(), values[a:z].tobytes()
+
+
+PACKED = "kind string, bucket int, block long, keys binary, values binary"
+NAMES = ["kind", "bucket", "block", "keys", "values"]
+
+
+def unpacked(answers: pd.DataFrame, kind: str, keys: np.ndarray, dtype: type, buckets: int) -> np.ndarray:
+    """The answers to a block's own keys, in the order of ``keys``."""
+    bucket = bucket_of(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    of_kind = answers[answers["kind"] == kind].sort_values("bucket")
+    got = np.frombuffer(b"".join(of_kind["answer"]), dtype)
+    if len(got) != len(keys):
+        raise RuntimeError("the answers are not those to this block's keys")
+    out = np.empty(len(keys), dtype)
+    out[order] = got
+    return out
+
+
+def pack_documents(docs: DataFrame, train: str) -> DataFrame:
+    """Blocks of ``docs`` (doc_id, text), one row each: block, ids (as text), lengths, train, words, seq. ``train`` is an SQL condition."""
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.expr(train.replace("_crc", "crc32(cast(coalesce(cast(doc_id as string), '') as binary))")).alias("train"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = xxhash.xxh3_64_intdigest
+        block = TaskContext.get().partitionId() << 33
+        ids: list = []
+        marks: list[bool] = []
+        lengths: list[int] = []
+        number: dict[bytes, int] = {}
+        seq: list[int] = []
+        size = 0
+
+        def full() -> pd.DataFrame:
+            keys = np.fromiter((END_KEY if w == b"\n" else digest(w) for w in number), np.uint64, len(number))
+            row = (block, list(ids), np.array(lengths, np.int32).tobytes(), np.array(marks, np.uint8).tobytes(), keys.tobytes(), np.array(seq, np.uint32).tobytes())
+            return pd.DataFrame([row], columns=["block", "ids", "lengths", "train", "words", "seq"])
+
+        for batch in batches:
+            for doc_id, text, mark in zip(batch["doc_id"], batch["text"], batch["train"], strict=True):
+                words = tokens(text or "")
+                words.append(b"\n")  # the end: no word is a line break
+                seq += [number.setdefault(w, len(number)) for w in words]
+                ids.append(doc_id)
+                marks.append(bool(mark))
+                lengths.append(len(words))
+                size += len(text or "")
+                if len(ids) >= BLOCK_DOCS or size >= BLOCK_BYTES:
+                    yield full()
+                    block += 1
+                    size = 0
+                    for x in (ids, marks, lengths, number, seq):
+                        x.clear()
+        if ids:
+            yield full()
+
+    return rows.mapInPandas(run, "block long, ids array<string>, lengths binary, train binary, words binary, seq binary")
+
+
+def add_up(group: pd.DataFrame) -> pd.DataFrame:
+    """All rows of one (kind, bucket): totals over the blocks for each block's own keys, and for words the parts of N and V."""
+    kind = group["kind"].iloc[0]
+    of_gain = kind.startswith("gain")
+    keys = [np.frombuffer(k, np.uint64) for k in group["keys"]]
+    values = [np.frombuffer(c, np.float32 if of_gain else np.uint32) for c in group["values"]]
+    found, of = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.bincount(of, np.concatenate(values).astype(np.float64), len(found))
+    answer = (totals >= MIN_GAIN).astype(np.uint8) if of_gain else totals.astype(np.uint32)
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    out = [(kind, b, int(block), answer[own].tobytes(), 0, 0) for b, block, own in zip(group["bucket"], group["block"], np.split(of, cuts), strict=True)]
+    if kind == "word":
+        out.append((kind, int(group["bucket"].iloc[0]), -1, b"", int(totals.sum()), int((totals > 0).sum())))
+    return pd.DataFrame(out, columns=["kind", "bucket", "block", "answer", "n", "v"])
 
 
 def score_documents(docs: DataFrame, training: str) -> DataFrame:
@@ -202,112 +242,107 @@ def score_documents(docs: DataFrame, training: str) -> DataFrame:
 
     ``training`` is an SQL condition over doc_id and ``_crc`` (crc32 of the id as text): the rows to learn from.
 
-    * A null text counts as empty: one token, the end. Without training rows N and V are 0 and the tree is uniform over bytes.
+    * A null text counts as empty: one token, the end. Without training rows N and V are 0, no context is a state and every token has
+      the probability 1.
     * Repeated rows count as often as they occur and are scored alike. Empty tables give empty results.
-    * Only doc_id and text are read. Rows keep the block their scan gives them; if a lost partition came back in other blocks the
-      counts would not fit and the job would fail rather than return wrong numbers.
-    * Words are keyed by 64-bit hashes when counted: two of n words share one with probability n * n / 2 ** 65.
+    * Only doc_id and text are read, once: the blocks are written and every later round reads them, so lost executors change nothing.
+    * Words and strings of words are keyed by 64-bit hashes when counted: two of n share one with probability n * n / 2 ** 65.
+    * A document is in one block, so memory is that of a block, or of the longest document.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
-    n_docs = docs.count()
-    buckets = max(16, -(-n_docs // (2 * BLOCK_DOCS)))
-    base = docs.select(
-        F.shiftright(F.monotonically_increasing_id(), BLOCK_DOCS.bit_length() - 1).alias("block"),
-        "doc_id",
-        "text",
-        F.expr(training.replace("_crc", "crc32(cast(coalesce(cast(doc_id as string), '') as binary))")).alias("train"),
-    )
+    blocks = materialize(pack_documents(docs.select("doc_id", "text"), training), "blocks")
+    n_docs = blocks.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    buckets = max(16, -(-n_docs // BUCKET_DOCS))
+    answered = "kind string, bucket int, block long, answer binary, n long, v long"
+
+    def totals(sent: DataFrame) -> DataFrame:
+        return materialize(sent.groupBy("kind", "bucket").applyInPandas(add_up, answered), "totals")
+
+    def block_of(row: pd.Series) -> Block:
+        return Block.of(row["lengths"], row["train"], row["words"], row["seq"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram_keys, gram_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        names = ["kind", "bucket", "block", "keys", "counts"]
-        last = -1
-        for block, rows in _blocks(batches, ["block", "text", "train"]):
-            last = block
-            split = [tokens(t or "") for _, t, _ in rows]
-            trained = [ws for ws, (_, _, use) in zip(split, rows, strict=True) if use]
-            words: Counter = Counter()
-            for ws in trained:
-                words.update(ws)
-            for ws, (_, _, use) in zip(split, rows, strict=True):
-                if not use:
-                    words.update(dict.fromkeys(ws, 0))
-            keys = np.concatenate([keys_of(list(words)), [END_KEY]])
-            counts = np.fromiter([*words.values(), len(trained)], np.int64, len(words) + 1)
-            yield pd.DataFrame(_packed("word", block, *merge_counts(keys, counts), buckets), columns=names)
-            if trained:
-                found, n = np.unique(grams(*symbols(trained)), return_counts=True)
-                gram_keys, gram_counts = merge_counts(np.concatenate([gram_keys, found]), np.concatenate([gram_counts, n]))
-        if len(gram_keys):
-            yield pd.DataFrame(_packed("gram", last, gram_keys, gram_counts, buckets), columns=names)
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        """All rows of one (kind, bucket). Words: each block gets the corpus counts of its own keys. Grams: one merged row."""
-        kind, bucket = group["kind"].iloc[0], int(group["bucket"].iloc[0])
-        keys = [np.frombuffer(k, np.uint64) for k in group["keys"]]
-        counts = [np.frombuffer(c, np.uint32).astype(np.int64) for c in group["counts"]]
-        all_keys, totals = merge_counts(np.concatenate(keys), np.concatenate(counts))
-        out = [(kind, bucket, -1, all_keys.tobytes() if kind == "gram" else b"", totals.tobytes() if kind == "gram" else b"", int(totals.sum()), int((totals > 0).sum()))]
-        if kind == "word":
-            for block, own in zip(group["block"], keys, strict=True):
-                out.append((kind, bucket, int(block), b"", totals[np.searchsorted(all_keys, own)].tobytes(), 0, 0))
-        return pd.DataFrame(out, columns=["kind", "bucket", "block", "keys", "totals", "n", "v"])
-
-    packed = base.mapInPandas(count, "kind string, bucket int, block long, keys binary, counts binary")
-    merged = packed.groupBy("kind", "bucket").applyInPandas(merge, "kind string, bucket int, block long, keys binary, totals binary, n long, v long")
-    merged = materialize(merged, "lm")
-    facts = {r["kind"]: (r["n"] or 0, r["v"] or 0) for r in merged.where("block = -1").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
-    n_tokens, n_kinds = facts.get("word", (0, 0))
-    # Grams that reach the driver: at most MAX_GRAMS, as each has at least 1 / MAX_GRAMS of all.
-    least = max(2, -(-facts.get("gram", (0, 0))[0] // MAX_GRAMS))
-
-    def frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, c in zip(b["keys"], b["totals"], strict=True):
-                k, c = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
-                rows.append((k[c >= least].tobytes(), c[c >= least].tobytes()))
-            yield pd.DataFrame(rows, columns=["keys", "totals"])
-
-    found = merged.where("kind = 'gram'").select("keys", "totals").mapInPandas(frequent, "keys binary, totals binary").collect()
-    codes = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r["keys"], np.uint64) for r in found]])
-    totals = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["totals"], np.int64) for r in found]])
-    tree = fit_tree(codes, totals)
-
-    def score(rows: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        split = [tokens(t or "") for t in rows["text"]]
-        number: dict[bytes, int] = {}
-        flat = [number.setdefault(w, len(number)) for ws in split for w in ws]
-        keys = np.concatenate([keys_of(list(number)), [END_KEY]])
-        distinct = np.unique(keys)
-        bucket_of = _spread(distinct, buckets)
-        c_of = np.full(len(distinct), -1, np.int64)
-        for b, c in zip(counted["bucket"], counted["totals"], strict=True):
-            c_of[bucket_of == b] = np.frombuffer(c, np.int64)
-        if len(rows) and (c_of < 0).any():
-            raise RuntimeError("the blocks of this run are not those that were counted")
-        c = c_of[np.searchsorted(distinct, keys)]
-        lengths = np.fromiter(map(len, split), np.int64, len(split))
-        ids = np.insert(np.array(flat, np.int64), np.cumsum(lengths), len(number)) if len(split) else np.zeros(0, np.int64)
-        starts = np.cumsum(lengths + 1) - (lengths + 1)
-        log_c = np.log10((c + 1.0) / (n_tokens + n_kinds + 1.0))
-        trust = max(1, n_kinds)
-        log_p = np.log10((c[ids] + trust * 10.0 ** tree.score(split)) / (n_tokens + trust))
-        return pd.DataFrame(
-            {
-                "doc_id": rows["doc_id"],
-                "held_out": ~rows["train"].astype(bool),
-                "n_tokens": lengths + 1,
-                "n_known": np.add.reduceat((c > 0)[ids].astype(np.int64), starts),
-                "train_tokens": np.full(len(rows), n_tokens, np.int64),
-                "base_score": np.add.reduceat(log_c[ids], starts),
-                "score": np.add.reduceat(log_p, starts),
-            }
-        )
-
-    counted = merged.where("kind = 'word' and block >= 0").select("block", "bucket", "totals")
-    schema = f"doc_id {key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return base.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(score, schema)
+        for batch in batches:
+            for _, row in batch.iterrows():
+                b = block_of(row)
+                counts = np.bincount(b.seq[b.train], minlength=len(b.words))
+                pairs = pairs_of(b)
+                rows = [*packed("word", row["block"], b.words, counts.astype(np.uint32), buckets), *packed("pair", row["block"], pairs.keys, pairs.counts(b.train).astype(np.uint32), buckets)]
+                yield pd.DataFrame(rows, columns=NAMES)
+
+    slim = blocks.select("block", "lengths", "train", "words", "seq")
+    counted = totals(slim.mapInPandas(count, PACKED))
+    n, v = counted.where("block < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+
+    def with_answers(answers: DataFrame) -> tuple:
+        return slim.groupBy("block").cogroup(answers.where("block >= 0").select("block", "kind", "bucket", "answer").groupBy("block"))
+
+    def known(b: Block, a: pd.DataFrame) -> tuple[np.ndarray, Grams, np.ndarray, Grams]:
+        words = unpacked(a, "word", b.words, np.uint32, buckets).astype(np.int64)
+        pairs = pairs_of(b)
+        of_pairs = unpacked(a, "pair", pairs.keys, np.uint32, buckets).astype(np.int64)
+        return words, pairs, of_pairs, triples_of(b, pairs, of_pairs)
+
+    def count_triples(rows: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        for _, row in rows.iterrows():
+            b = block_of(row)
+            words, pairs, of_pairs, triples = known(b, a)
+            out += packed("triple", row["block"], triples.keys, triples.counts(b.train).astype(np.uint32), buckets)
+            none = np.zeros(len(triples.keys), np.int64)
+            s = probabilities(b, words, pairs, of_pairs, triples, none, n, v, left_out=1)
+            found = np.flatnonzero(words >= MIN_CONTEXT)
+            gain = gains(s.context_one, s.one, s.base, b.train & s.has_one, len(words))
+            out += packed("gain 1", row["block"], b.words[found], gain[found].astype(np.float32), buckets)
+        return pd.DataFrame(out, columns=NAMES)
+
+    tripled = totals(with_answers(counted).applyInPandas(count_triples, PACKED))
+    both = counted.unionByName(tripled)
+
+    def gain_of_pairs(rows: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        for _, row in rows.iterrows():
+            b = block_of(row)
+            words, pairs, of_pairs, triples = known(b, a)
+            s = probabilities(b, words, pairs, of_pairs, triples, unpacked(a, "triple", triples.keys, np.uint32, buckets).astype(np.int64), n, v, left_out=1)
+            found = np.flatnonzero(of_pairs >= MIN_CONTEXT)
+            gain = gains(s.context_two, s.two, s.one, b.train & s.has_two, len(of_pairs))
+            out += packed("gain 2", row["block"], pairs.keys[found], gain[found].astype(np.float32), buckets)
+        return pd.DataFrame(out, columns=NAMES)
+
+    gained = totals(with_answers(both).applyInPandas(gain_of_pairs, PACKED))
+
+    def score(rows: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for _, row in rows.iterrows():
+            b = block_of(row)
+            words, pairs, of_pairs, triples = known(b, a)
+            s = probabilities(b, words, pairs, of_pairs, triples, unpacked(a, "triple", triples.keys, np.uint32, buckets).astype(np.int64), n, v)
+            state_one, state_two = np.zeros(len(words), bool), np.zeros(len(of_pairs), bool)
+            found = np.flatnonzero(words >= MIN_CONTEXT)
+            state_one[found] = unpacked(a, "gain 1", b.words[found], np.uint8, buckets).astype(bool)
+            found = np.flatnonzero(of_pairs >= MIN_CONTEXT)
+            state_two[found] = unpacked(a, "gain 2", pairs.keys[found], np.uint8, buckets).astype(bool)
+            starts = np.cumsum(b.lengths) - b.lengths
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "doc_id": list(row["ids"]),
+                        "held_out": ~b.train_docs,
+                        "n_tokens": b.lengths,
+                        "n_known": np.add.reduceat((words > 0)[b.seq].astype(np.int64), starts),
+                        "train_tokens": np.full(len(b.lengths), n, np.int64),
+                        "base_score": np.add.reduceat(s.base, starts) / LOG10,
+                        "score": np.add.reduceat(chosen(s, state_one, state_two), starts) / LOG10,
+                    }
+                )
+            )
+        return pd.concat(parts) if parts else pd.DataFrame([], columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    everything = both.unionByName(gained)
+    schema = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    answers = everything.where("block >= 0").select("block", "kind", "bucket", "answer").groupBy("block")
+    return blocks.groupBy("block").cogroup(answers).applyInPandas(score, schema).withColumn("doc_id", F.col("doc_id").cast(key))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

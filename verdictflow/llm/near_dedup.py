@@ -130,14 +130,13 @@ def similarity_of(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY)
 
 def sketch_texts(texts: DataFrame) -> DataFrame:
     """(key, doc_id, n, sig) for each row of ``texts`` (key, doc_id, text): the number of shingles and the sketches."""
-    id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [shingles(word_keys(t)) for t in batch["text"]]
             yield pd.DataFrame({"key": batch["key"], "doc_id": batch["doc_id"], "n": [len(x) for x in found], "sig": [sketches(x).view(np.int64) for x in found]})
 
-    return texts.mapInPandas(run, f"key binary, doc_id {id_type}, n int, sig array<long>")
+    return texts.mapInPandas(run, "key binary, doc_id string, n int, sig array<long>")
 
 
 def shingle_texts(texts: DataFrame) -> DataFrame:
@@ -300,7 +299,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
 
     Equal texts share a key and are compared once. Texts without words are alike only if equal."""
     spark = docs.sparkSession
-    texts = docs.select(text_key().alias("key"), "doc_id", text_or_empty().alias("text"))
+    texts = docs.select(text_key().alias("key"), F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text"))
     # Copies become one row before the shuffle and after it; the least id tells which row stands for them.
     sketched = materialize(sketch_texts(texts).groupBy("key", "n", "sig").agg(F.min("doc_id").alias("doc_id")), "sketches")
     bands = sketched.select("key", "n", F.explode("sig").alias("band"))

@@ -30,6 +30,8 @@ MOST_EVIDENCE = 6.0
 #: weighs, as a share of the documents: a common kind of junk that only one rule sees must not pass for good.
 EXPECTED = {1: (0.9, 0.8), -1: (0.002, 0.3)}
 PRIOR_STRENGTH = 0.3
+#: Low bits of a window's key that hold its position: for texts of fewer than a million windows, and of more.
+POSITION_BITS = (20, 31)
 RULES = ("length", "word_length", "symbols", "marks", "capitals", "lines", "repeats")
 
 
@@ -72,7 +74,7 @@ def text_features(docs: DataFrame, text: str = "text", prefix: str = "") -> Data
         ),
     ).drop(f"{p}h4")
     h = c(f"h{REPEAT_WORDS}")
-    df = df.withColumn(f"{p}bits", F.expr(f"if(size({h}) < 1048576, 20, 31)"))
+    df = df.withColumn(f"{p}bits", F.expr(f"if(size({h}) < 1048576, {POSITION_BITS[0]}, {POSITION_BITS[1]})"))
     bits = c("bits")
     df = df.withColumn(
         f"{p}sorted",
@@ -88,12 +90,14 @@ def text_features(docs: DataFrame, text: str = "text", prefix: str = "") -> Data
         F.expr(f"zip_with(slice({s}, 1, greatest(size({s}) - 1, 0)), slice({s}, 2, greatest(size({s}) - 1, 0)), (a, b) -> shiftright(a ^ b, {bits}) = 0 and {same_words})"),
     )
     same = c("same")
-    df = df.withColumn(
-        f"{p}starts",
-        F.expr(
-            f"array_sort(filter(transform({s}, (x, i) -> if(coalesce(get({same}, i), false) or coalesce(get({same}, i - 1), false), cast(x & {low} as int), -1)), v -> v >= 0))"
-        ),
-    )
+    # Neighbours of one (cut) hash but other words: then, and only then, the windows themselves are sorted, so that no repeat is missed.
+    collided = f"exists(zip_with({same}, sequence(0, greatest(size({same}) - 1, 0)), (e, i) -> not e and shiftright(get({s}, i) ^ get({s}, i + 1), {bits}) = 0), e -> coalesce(e, false))"
+    windows = f"array_sort(transform({s}, (x, j) -> struct(slice({words}, cast(x & {low} as int) + 1, {REPEAT_WORDS}) as w, cast(x & {low} as int) as at)))"
+    equal = lambda a, b: f"(get({c('exact')}, {a}).w = get({c('exact')}, {b}).w)"
+    df = df.withColumn(f"{p}exact", F.expr(f"if(size({same}) > 0 and {collided}, {windows}, null)"))
+    of_hashes = f"transform({s}, (x, i) -> if(coalesce(get({same}, i), false) or coalesce(get({same}, i - 1), false), cast(x & {low} as int), -1))"
+    of_words = f"transform({c('exact')}, (x, i) -> if(coalesce({equal('i', 'i + 1')}, false) or coalesce({equal('i - 1', 'i')}, false), x.at, -1))"
+    df = df.withColumn(f"{p}starts", F.expr(f"array_sort(filter(if({c('exact')} is null, {of_hashes}, {of_words}), v -> v >= 0))"))
     st = c("starts")
     df = df.withColumn(
         f"{p}n_repeat_words",
@@ -103,7 +107,7 @@ def text_features(docs: DataFrame, text: str = "text", prefix: str = "") -> Data
         ),
     )
     # A row number is not deterministic, so no filter above is pushed below it, where every nested feature would be computed again.
-    return df.drop(f"{p}words", f"{p}bits", f"{p}sorted", f"{p}same", f"{p}starts").withColumn(f"{p}row", F.monotonically_increasing_id())
+    return df.drop(f"{p}words", f"{p}bits", f"{p}sorted", f"{p}same", f"{p}exact", f"{p}starts").withColumn(f"{p}row", F.monotonically_increasing_id())
 
 
 def vote(good: Column, bad: Column) -> Column:
@@ -189,7 +193,8 @@ def score_quality(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
     * A null text counts as empty: no words, so base_failed and not kept. An empty table gives an empty result.
     * Repeated rows are scored alike. Other columns are not read.
-    * Very long texts are handled in the row; window positions have 20 bits, 31 beyond a million words.
+    * Very long texts are handled in the row; window positions have 20 bits, 31 beyond a million words, and where windows of other words
+      share the rest of a hash, the words themselves are sorted.
     """
     featured = text_features(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
     featured = materialize(featured.drop("text"), "quality")
@@ -212,8 +217,12 @@ def score_quality(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose documents are kept, with their columns unchanged.
 
-    The features stay in the rows, written once with them, so no key is needed and repeated ids cannot mix."""
+    * The features stay in the rows, written once with them, so no key is needed and repeated ids cannot mix: repeated rows stay or go
+      together. A null or empty text has no words and goes. An empty table stays empty.
+    * Columns of ``docs`` may have any names: the features get a prefix that none of them begins with."""
     p = "_vf_"
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p += "_"
     featured = materialize(text_features(docs, text, prefix=p), "quality")
     model = fit_vote_model(featured, p)
     return featured.where(~base_failed(p) & (model.posterior(rule_votes(p)) >= F.lit(KEEP_POSTERIOR))).select(*[F.col(f"`{c}`") for c in docs.columns])
