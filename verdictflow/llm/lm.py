@@ -156,10 +156,12 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def packed(kind: str, block: int, keys: np.ndarray, values: np.ndarray, buckets: int) -> Iterator[tuple]:
     """Rows (kind, bucket, block, keys, values): in each bucket the keys in their own order."""
+    if not len(keys):
+        return
     bucket = bucket_of(keys, buckets)
     order = np.argsort(bucket, kind="stable")
     keys, values, bucket = keys[order], values[order], bucket[order]
-    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for a, z in zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=True):
         yield kind, int(bucket[a]), block, keys[a:z].tobytes(), values[a:z].tobytes()
 
