@@ -38,6 +38,9 @@ ALPHA = 1.5
 BLOCK_DOCS, BLOCK_BYTES = 4096, 4 << 20
 #: Documents in a bucket of keys, on average: buckets grow in number with the corpus and not in size.
 BUCKET_DOCS = 2048
+#: Bytes of a key that are sent: whole ones of words, 40 bits beside the bucket of longer strings. Buckets do not grow, so two strings of
+#: the million in a bucket share one with probability 5e-7, however large the corpus.
+KEY_BYTES = {"word": 8, "gain 1": 8, "pair": 5, "triple": 5, "gain 2": 5}
 END_KEY = np.uint64(xxhash.xxh3_64_intdigest(b" end"))  # no word holds a space
 MIX = np.uint64(0x9E3779B97F4A7C15)
 LOG10 = float(np.log(10.0))
@@ -160,10 +163,11 @@ def packed(kind: str, block: int, keys: np.ndarray, values: np.ndarray, buckets:
         return
     bucket = bucket_of(keys, buckets)
     order = np.argsort(bucket, kind="stable")
-    keys, values, bucket = keys[order], values[order], bucket[order]
+    sent = keys[order].view(np.uint8).reshape(-1, 8)[:, : KEY_BYTES[kind]]
+    values, bucket = values[order], bucket[order]
     at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for a, z in zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=True):
-        yield kind, int(bucket[a]), block, keys[a:z].tobytes(), values[a:z].tobytes()
+        yield kind, int(bucket[a]), block, sent[a:z].tobytes(), values[a:z].tobytes()
 
 
 PACKED = "kind string, bucket int, block long, keys binary, values binary"
@@ -227,12 +231,14 @@ def add_up(group: pd.DataFrame) -> pd.DataFrame:
     """All rows of one (kind, bucket): totals over the blocks for each block's own keys, and for words the parts of N and V."""
     kind = group["kind"].iloc[0]
     of_gain = kind.startswith("gain")
-    keys = [np.frombuffer(k, np.uint64) for k in group["keys"]]
+    width = KEY_BYTES[kind]
+    whole = np.zeros((sum(map(len, group["keys"])) // width, 8), np.uint8)
+    whole[:, :width] = np.frombuffer(b"".join(group["keys"]), np.uint8).reshape(-1, width)
     values = [np.frombuffer(c, np.float32 if of_gain else np.uint32) for c in group["values"]]
-    found, of = np.unique(np.concatenate(keys), return_inverse=True)
+    found, of = np.unique(whole.view(np.uint64).ravel(), return_inverse=True)
     totals = np.bincount(of, np.concatenate(values).astype(np.float64), len(found))
     answer = (totals >= MIN_GAIN).astype(np.uint8) if of_gain else totals.astype(np.uint32)
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    cuts = np.cumsum([len(k) // width for k in group["keys"]])[:-1]
     out = [(kind, b, int(block), answer[own].tobytes(), 0, 0) for b, block, own in zip(group["bucket"], group["block"], np.split(of, cuts), strict=True)]
     if kind == "word":
         out.append((kind, int(group["bucket"].iloc[0]), -1, b"", int(totals.sum()), int((totals > 0).sum())))
@@ -248,7 +254,7 @@ def score_documents(docs: DataFrame, training: str) -> DataFrame:
       the probability 1.
     * Repeated rows count as often as they occur and are scored alike. Empty tables give empty results.
     * Only doc_id and text are read, once: the blocks are written and every later round reads them, so lost executors change nothing.
-    * Words and strings of words are keyed by 64-bit hashes when counted: two of n share one with probability n * n / 2 ** 65.
+    * Words are keyed by 64-bit hashes when counted, strings of words by 40 bits within a bucket (see ``KEY_BYTES``).
     * A document is in one block, so memory is that of a block, or of the longest document.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
