@@ -22,6 +22,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,17 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 LOG10 = float(np.log(10.0))
 
 
+def small(numbers: np.ndarray) -> bytes:
+    """Numbers are mostly small: on disk and between machines they are sent compressed, first all low bytes, then all higher ones."""
+    planes = np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def large(data: bytes, dtype: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
 def tokens(text: str) -> list[bytes]:
     """Words of a text; ``bytes.lower`` changes A-Z only and ``bytes.split`` splits at the six ASCII spaces."""
     return text.encode().lower().split()
@@ -71,7 +83,7 @@ class Block(NamedTuple):
     @classmethod
     def of(cls, lengths: bytes, train: bytes, words: bytes, seq: bytes) -> Block:
         n, t = np.frombuffer(lengths, np.int32).astype(np.int64), np.frombuffer(train, np.uint8).astype(bool)
-        at = np.frombuffer(seq, np.uint32).astype(np.int64)
+        at = large(seq, np.uint32).astype(np.int64)
         since = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
         return cls(n, t, np.frombuffer(words, np.uint64), at, since, np.repeat(t, n))
 
@@ -167,7 +179,7 @@ def packed(kind: str, block: int, keys: np.ndarray, values: np.ndarray, buckets:
     values, bucket = values[order], bucket[order]
     at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for a, z in zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=True):
-        yield kind, int(bucket[a]), block, sent[a:z].tobytes(), values[a:z].tobytes()
+        yield kind, int(bucket[a]), block, sent[a:z].tobytes(), small(values[a:z])
 
 
 PACKED = "kind string, bucket int, block long, keys binary, values binary"
@@ -179,7 +191,7 @@ def unpacked(answers: pd.DataFrame, kind: str, keys: np.ndarray, dtype: type, bu
     bucket = bucket_of(keys, buckets)
     order = np.argsort(bucket, kind="stable")
     of_kind = answers[answers["kind"] == kind].sort_values("bucket")
-    got = np.frombuffer(b"".join(of_kind["answer"]), dtype)
+    got = np.concatenate([np.zeros(0, dtype), *[large(x, dtype) for x in of_kind["answer"]]])
     if len(got) != len(keys):
         raise RuntimeError("the answers are not those to this block's keys")
     out = np.empty(len(keys), dtype)
@@ -203,7 +215,11 @@ def pack_documents(docs: DataFrame, train: str) -> DataFrame:
 
         def full() -> pd.DataFrame:
             keys = np.fromiter((END_KEY if w == b"\n" else digest(w) for w in number), np.uint64, len(number))
-            row = (block, list(ids), np.array(lengths, np.int32).tobytes(), np.array(marks, np.uint8).tobytes(), keys.tobytes(), np.array(seq, np.uint32).tobytes())
+            at = np.array(seq, np.int64)
+            order = np.argsort(-np.bincount(at, minlength=len(keys)), kind="stable")  # frequent words get small numbers
+            place = np.empty(len(keys), np.uint32)
+            place[order] = np.arange(len(keys), dtype=np.uint32)
+            row = (block, list(ids), np.array(lengths, np.int32).tobytes(), np.array(marks, np.uint8).tobytes(), keys[order].tobytes(), small(place[at]))
             return pd.DataFrame([row], columns=["block", "ids", "lengths", "train", "words", "seq"])
 
         for batch in batches:
@@ -234,12 +250,12 @@ def add_up(group: pd.DataFrame) -> pd.DataFrame:
     width = KEY_BYTES[kind]
     whole = np.zeros((sum(map(len, group["keys"])) // width, 8), np.uint8)
     whole[:, :width] = np.frombuffer(b"".join(group["keys"]), np.uint8).reshape(-1, width)
-    values = [np.frombuffer(c, np.float32 if of_gain else np.uint32) for c in group["values"]]
+    values = [large(c, np.float32 if of_gain else np.uint32) for c in group["values"]]
     found, of = np.unique(whole.view(np.uint64).ravel(), return_inverse=True)
     totals = np.bincount(of, np.concatenate(values).astype(np.float64), len(found))
     answer = (totals >= MIN_GAIN).astype(np.uint8) if of_gain else totals.astype(np.uint32)
     cuts = np.cumsum([len(k) // width for k in group["keys"]])[:-1]
-    out = [(kind, b, int(block), answer[own].tobytes(), 0, 0) for b, block, own in zip(group["bucket"], group["block"], np.split(of, cuts), strict=True)]
+    out = [(kind, b, int(block), small(answer[own]), 0, 0) for b, block, own in zip(group["bucket"], group["block"], np.split(of, cuts), strict=True)]
     if kind == "word":
         out.append((kind, int(group["bucket"].iloc[0]), -1, b"", int(totals.sum()), int((totals > 0).sum())))
     return pd.DataFrame(out, columns=["kind", "bucket", "block", "answer", "n", "v"])
