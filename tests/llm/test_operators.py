@@ -267,7 +267,7 @@ def test_toxicity_sample_is_bounded_and_repeats_do_not_matter(spark):
     a = toxicity.train_toxicity(texts, labels, examples=20)
     b = toxicity.train_toxicity(texts.union(texts), labels.union(labels), examples=20)
     assert len(a.labels) == 40 and a.labels.sum() == 20 and a.ids == b.ids
-    df, n = toxicity.document_frequencies(texts, a.vocabulary)
+    df, n = toxicity.document_frequencies(toxicity.count_terms(texts, a.vocabulary), a.vocabulary)
     want = Counter(t for _, x, _ in data for t in set(toxicity.term_counts(x)))
     assert n == 120 and {t: df[i] for t, i in a.vocabulary.items()} == {t: want[t] for t in a.vocabulary}
 

@@ -11,15 +11,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictflow.llm.common import crc_of_id, table
+from verdictflow.llm.common import crc_of_id, materialize, table
 
 #: Documented bound of the fitted sample: examples of each label.
 EXAMPLES = 3000
@@ -38,24 +38,51 @@ def terms_of_word(word: str) -> list[str]:
     return [word, *[f"{word[:n]}~" for n in PREFIXES if len(word) > n]]
 
 
-def term_counts(text: str, cache: dict[str, tuple[int, ...]] | None = None, vocabulary: dict[str, int] | None = None) -> dict:
-    """Counts of the terms of a text: by term, or by term number if a vocabulary is given (other terms are left out)."""
-    words = Counter(WORDS(text.lower()))
-    counts: dict = {}
-    if vocabulary is None:
-        for w, n in words.items():
-            for t in terms_of_word(w):
-                counts[t] = counts.get(t, 0) + n
-        return counts
-    for w, n in words.items():
-        numbers = cache.get(w)
-        if numbers is None:
-            numbers = cache[w] = tuple(vocabulary[t] for t in terms_of_word(w) if t in vocabulary)
-        for k in numbers:
-            counts[k] = counts.get(k, 0) + n
+def term_counts(text: str) -> Counter:
+    """Counts of the terms of a text."""
+    counts: Counter = Counter()
+    for w, n in Counter(WORDS(text.lower())).items():
+        for t in terms_of_word(w):
+            counts[t] += n
     return counts
 
 
+@dataclass
+class TermLookup:
+    """Numbers of the vocabulary's terms in texts. Most words have no term: they are kept as a set, so that a text without any term
+    costs one set difference. At most ``CACHE_WORDS`` words are remembered."""
+
+    vocabulary: dict[str, int]
+    numbers: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    without: set[str] = field(default_factory=set)
+
+    def telling(self, words: list[str]) -> set[str]:
+        """The words that have a term."""
+        found = set(words) - self.without
+        for w in [w for w in found if w not in self.numbers]:
+            numbers = tuple(self.vocabulary[t] for t in terms_of_word(w) if t in self.vocabulary)
+            if numbers:
+                self.numbers[w] = numbers
+            else:
+                self.without.add(w)
+                found.discard(w)
+        return found
+
+    def counts(self, text: str) -> dict[int, int]:
+        """Occurrences of each term of the text, by term number."""
+        if len(self.without) + len(self.numbers) > CACHE_WORDS:
+            self.without.clear()
+            self.numbers.clear()
+        words = WORDS(text.lower())
+        telling = self.telling(words)
+        counts: Counter = Counter()
+        if telling:
+            for w, n in Counter(filter(telling.__contains__, words)).items():
+                for k in self.numbers[w]:
+                    counts[k] += n
+        return counts
+
+
 @dataclass
 class BlockMaxIndex:
     """Inverted index of unit vectors: for each term, the weights of the examples block by block, and the largest of each block.
@@ -111,12 +138,12 @@ class ToxicityModel:
     prior: float
     scale: tuple[float, float]  # calibration: probability = sigmoid(a + b * vote)
 
-    def vector(self, text: str, cache: dict) -> tuple[np.ndarray, np.ndarray]:
-        counts = term_counts(text, cache, self.vocabulary)
-        if not counts:
+    def vector(self, terms: Sequence[int], counts: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of the unit TF-IDF vector of a text."""
+        if not len(terms):
             return np.zeros(0, np.int64), np.zeros(0)
-        t = np.fromiter(counts.keys(), np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[t]
+        t = np.array(terms, np.int64)
+        w = (1 + np.log(np.array(counts, np.float64))) * self.idf[t]
         return t, w / np.sqrt(w @ w)
 
     def vote(self, neighbours: np.ndarray, cosines: np.ndarray) -> float:
@@ -129,9 +156,9 @@ class ToxicityModel:
         a, b = self.scale
         return float(1 / (1 + np.exp(-(a + b * vote))))
 
-    def judge(self, text: str, cache: dict) -> tuple[float, np.ndarray, np.ndarray]:
+    def judge(self, terms: Sequence[int], counts: Sequence[int]) -> tuple[float, np.ndarray, np.ndarray]:
         """(calibrated score, nearest examples, their cosines)"""
-        t, w = self.vector(text, cache)
+        t, w = self.vector(terms, counts)
         found, cosines = self.index.nearest(t, w, NEIGHBOURS) if len(t) else (np.zeros(0, np.int64), np.zeros(0))
         return self.score(self.vote(found, cosines)), found, cosines
 
@@ -166,27 +193,25 @@ def choose_vocabulary(counts: list[dict], labels: np.ndarray) -> list[str]:
     return chosen
 
 
-def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
-    """(documents that have each term, documents) over all of ``docs``; each task sends one row for each term at most."""
+def count_terms(docs: DataFrame, vocabulary: dict[str, int], *keys: str) -> DataFrame:
+    """The columns ``keys`` of each document, ``terms`` (numbers of the vocabulary's terms in its text) and ``counts``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict = {}
-        found, n = np.zeros(len(vocabulary) + 1, np.int64), 0
+        lookup = TermLookup(vocabulary)
         for batch in batches:
-            for text in batch["text"]:
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                for t in term_counts(text or "", cache, vocabulary):
-                    found[t] += 1
-            n += len(batch)
-        found[-1] = n
-        at = np.flatnonzero(found)
-        yield pd.DataFrame({"term": at, "n": found[at]})
-
-    total = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in docs.select("text").mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        total[r["term"]] = r["n"]
-    return total[:-1], int(total[-1])
+            found = [lookup.counts(text or "") for text in batch["text"]]
+            yield batch[list(keys)].assign(terms=[list(c.keys()) for c in found], counts=[list(c.values()) for c in found])
+
+    schema = ", ".join([f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys] + ["terms array<int>, counts array<int>"])
+    return docs.select(*keys, "text").mapInPandas(run, schema)
+
+
+def document_frequencies(terms: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
+    """(documents that have each term, documents) over a table of ``count_terms``; one row for each term comes to the driver."""
+    df = np.zeros(len(vocabulary), np.int64)
+    for r in terms.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
+        df[r["term"]] = r["count"]
+    return df, terms.count()
 
 
 def fit_toxicity(rows: list[tuple[object, str, int]], sizes: dict[int, int], frequencies: Callable[[dict[str, int]], tuple[np.ndarray, int]] | None = None) -> ToxicityModel:
@@ -205,9 +230,13 @@ def fit_toxicity(rows: list[tuple[object, str, int]], sizes: dict[int, int], fre
     idf = np.log(1 + n_docs / np.maximum(df, 1))
     total = sizes.get(0, 0) + sizes.get(1, 0)
     prior = sizes.get(1, 0) / total if total else 0.0
-    model = ToxicityModel(vocabulary, idf, BlockMaxIndex.build([], len(vocabulary)), labels, [r[0] for r in rows], prior, (0.0, 1.0))
-    cache: dict = {}
-    vectors = [model.vector(r[1] or "", cache) for r in rows]
+    model = ToxicityModel(vocabulary, idf, BlockMaxIndex.build([], len(vocabulary)), labels, [], prior, (0.0, 1.0))
+    lookup = TermLookup(vocabulary)
+    vectors = [model.vector(list(c.keys()), list(c.values())) for c in (lookup.counts(r[1] or "") for r in rows)]
+    # Examples of the same heaviest term stand together, those without a term last: bounds of blocks are then tight, and most low or 0.
+    place = sorted(range(len(rows)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else len(vocabulary), -labels[i], i))
+    vectors, labels = [vectors[i] for i in place], labels[place]
+    model.labels, model.ids = labels, [rows[i][0] for i in place]
     model.index = BlockMaxIndex.build(vectors, len(vocabulary))
     # Calibration by leaving each example out of its own neighbours; weights restore the shares of the labels.
     votes = []
@@ -221,12 +250,12 @@ def fit_toxicity(rows: list[tuple[object, str, int]], sizes: dict[int, int], fre
     return model
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: Callable[[dict[str, int]], DataFrame] | None = None) -> ToxicityModel:
     """Fit on ``docs`` (doc_id, text: the documents to learn from) and ``labels`` (doc_id, toxic).
 
     The sample is drawn from the labels alone: the ``examples`` keys of each label with the least hashes. Their texts, one for each key,
     are fetched by a join with these keys, so no text is shuffled. A key with both labels counts as toxic; labels other than 0 and 1 and
-    null keys are left out."""
+    null keys are left out. ``terms`` gives the table of ``count_terms`` over ``docs`` for a vocabulary, where the caller keeps one."""
     spark = docs.sparkSession
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -234,42 +263,50 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES)
     chosen = [r for y in (0, 1) for r in known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(examples).collect()]
     keys = spark.createDataFrame(chosen, known.schema)  # at most 2 * examples rows
     sample = docs.join(F.broadcast(keys), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()
-    return fit_toxicity([(r["doc_id"], r["text"], r["toxic"]) for r in sample], sizes, lambda vocabulary: document_frequencies(docs, vocabulary))
+    counted = terms or (lambda vocabulary: count_terms(docs, vocabulary))
+    return fit_toxicity([(r["doc_id"], r["text"], r["toxic"]) for r in sample], sizes, lambda vocabulary: document_frequencies(counted(vocabulary), vocabulary))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, with_evidence: bool = False) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, score, predicted and, on request, evidence (ids and cosines of the neighbours).
-
-    * A null or empty text, or one without a term of the vocabulary, has no neighbour and gets the calibrated prior.
-    * Without labels the vocabulary is empty and every score alike. Repeated rows are scored alike; empty tables stay empty.
-    * Whole texts; only doc_id and text are read.
-    """
-    key = docs.schema["doc_id"].dataType.simpleString()
+def score_terms(terms: DataFrame, model: ToxicityModel, *keys: str, with_evidence: bool = False) -> DataFrame:
+    """``keys``, score, predicted and, on request, evidence of each row of a table of ``count_terms`` for the model's vocabulary."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict = {}
         for batch in batches:
-            scores, evidence = [], []
-            for text in batch["text"]:
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-                s, found, cosines = model.judge(text or "", cache)
-                scores.append(s)
-                if with_evidence:
-                    evidence.append([{"id": str(model.ids[i]), "cosine": float(c), "toxic": int(model.labels[i])} for i, c in zip(found, cosines, strict=True)])
-            out = pd.DataFrame({"doc_id": batch["doc_id"], "score": scores})
+            judged = [model.judge(t, c) for t, c in zip(batch["terms"], batch["counts"], strict=True)]
+            out = batch[list(keys)].assign(score=[s for s, _, _ in judged])
             if with_evidence:
-                out["evidence"] = evidence
+                out["evidence"] = [
+                    [{"id": str(model.ids[i]), "cosine": float(c), "toxic": int(model.labels[i])} for i, c in zip(found, cosines, strict=True)] for _, found, cosines in judged
+                ]
             yield out
 
-    schema = f"doc_id {key}, score double" + ", evidence array<struct<id:string,cosine:double,toxic:int>>" * with_evidence
-    out = docs.select("doc_id", "text").mapInPandas(run, schema)
+    schema = ", ".join([f"`{k}` {terms.schema[k].dataType.simpleString()}" for k in keys] + ["score double"])
+    schema += ", evidence array<struct<id:string,cosine:double,toxic:int>>" * with_evidence
+    out = terms.select(*keys, "terms", "counts").mapInPandas(run, schema)
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def score_toxicity(docs: DataFrame, model: ToxicityModel, with_evidence: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, score, predicted and, on request, evidence (ids and cosines of the neighbours).
+
+    * A null or empty text, or one without a term of the vocabulary, has no neighbour and gets the calibrated prior.
+    * Without labels the vocabulary is empty and every score alike. Repeated rows are scored alike; empty tables stay empty.
+    * Whole texts; only doc_id and text are read.
+    """
+    return score_terms(count_terms(docs, model.vocabulary, "doc_id"), model, "doc_id", with_evidence=with_evidence)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Texts are cut into words once: their terms are kept in a slim table, which gives the document frequencies and is then scored."""
     held_out = F.pmod(crc_of_id(), F.lit(3)) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
-    model = train_toxicity(docs.where(~held_out), labels)
-    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    kept: list[DataFrame] = []
+
+    def counted(vocabulary: dict[str, int]) -> DataFrame:
+        kept.append(materialize(count_terms(docs, vocabulary, "doc_id", "held_out"), "toxicity-terms"))
+        return kept[0].where("not held_out")
+
+    model = train_toxicity(docs.where("not held_out"), labels, terms=counted)
+    terms = kept[0] if kept else count_terms(docs, model.vocabulary, "doc_id", "held_out")  # no label, no vocabulary
+    return score_terms(terms, model, "doc_id", "held_out").select("doc_id", "held_out", "score", "predicted")
