@@ -3,6 +3,7 @@ from __future__ import annotations
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from verdictflow.operators import normalize
@@ -74,6 +75,8 @@ def test_checkpoint_and_publish(spark, tmp_path):
     writers.write_json_lines(items.withColumn("split", F.lit("train")), str(tmp_path / "j"), gzip=True, split="split")
     assert spark.read.json(str(tmp_path / "j")).count() == 10
     assert writers.markdown_table(writers.manifest(items.withColumn("s", F.lit("a")), ["s"])).splitlines()[-1] == "| a | 10 |"
+    with pytest.raises(ValueError, match="more than 3 rows"):
+        writers.markdown_table(items, most=3)
 
 
 def test_normalize(spark):

@@ -44,8 +44,10 @@ def manifest(rows: DataFrame, by: list[str], size: str | None = None) -> DataFra
 
 
 def markdown_table(report: DataFrame, most: int = 1000) -> str:
-    """A report (an aggregate of bounded size) as a Markdown table, in the order of its columns."""
-    rows = report.orderBy(*report.columns).limit(most).collect()
+    """A report (an aggregate of bounded size) as a Markdown table, in the order of its columns. One of more than ``most`` rows is an error."""
+    rows = report.orderBy(*report.columns).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the report has more than {most} rows")
     head = [report.columns, ["---"] * len(report.columns)]
     return "\n".join("| " + " | ".join(str(c) for c in r) + " |" for r in [*head, *[list(r) for r in rows]])
 
