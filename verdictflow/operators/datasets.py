@@ -66,23 +66,34 @@ def round_robin(rows: DataFrame, source: str, template: str, n: int, order: Colu
     return rows.withColumn("_turn", turn).where(F.col("_turn") <= n).withColumn("_place", place).where(F.col("_place") <= n).drop("_turn", "_place")
 
 
-def balance(rows: DataFrame, label: str, order: Column) -> DataFrame:
-    """Every label cut to the size of the smallest. The size is an aggregate, joined as one row."""
+def least_digests(rows: DataFrame, by: Sequence[str], most: str, digest: Column) -> DataFrame:
+    """Of each group the rows with the least hexadecimal digests, as many as the column ``most`` says.
+
+    Groups may hold most of the table. Rows are counted by the first four digits of the digest, which tells for each such part how many
+    rows come before it; only within a part are rows numbered, so a task holds parts and never a group."""
+    cut = rows.withColumn("_group", F.to_json(F.struct(*by))).withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, 4))
+    sizes = cut.groupBy("_group", "_part").agg(F.count(F.lit(1)).alias("_size"))
+    running = F.sum("_size").over(Window.partitionBy("_group").orderBy("_part"))  # at most 65,536 parts a group
+    before = sizes.select("_group", "_part", (running - F.col("_size")).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_group", "_part").orderBy("_digest"))
+    open_parts = cut.join(before, ["_group", "_part"]).where(F.col("_before") < F.col(most))
+    return open_parts.withColumn("_place", place).where(F.col("_place") <= F.col(most)).select(*rows.columns)
+
+
+def balance(rows: DataFrame, label: str, digest: Column) -> DataFrame:
+    """Every label cut to the size of the smallest, by digests. The size is an aggregate, joined as one row."""
     least = rows.groupBy(label).count().agg(F.min("count").alias("_least"))
-    w = Window.partitionBy(label).orderBy(order)
-    return rows.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(least)).where("_rn <= _least").drop("_rn", "_least")
+    return least_digests(rows.join(F.broadcast(least)), [label], "_least", digest).drop("_least")
 
 
-def stratified_negatives(rows: DataFrame, positive: Column, hard: Column, order: Column) -> DataFrame:
-    """All positives and as many negatives: half of them hard ones if there are enough, the rest easy ones."""
+def stratified_negatives(rows: DataFrame, positive: Column, hard: Column, digest: Column) -> DataFrame:
+    """All positives and as many negatives, by digests: half of them hard ones if there are enough, the rest easy ones."""
     kind = F.when(positive, "positive").when(hard, "hard").otherwise("easy")
     tagged = rows.withColumn("_kind", kind)
     n = tagged.agg(F.count_if(F.col("_kind") == "positive").alias("_n"), F.count_if(F.col("_kind") == "hard").alias("_hard"))
     n = n.select("_n", F.least("_hard", F.floor(F.col("_n") / 2)).alias("_take"))
-    w = Window.partitionBy("_kind").orderBy(order)
-    picked = tagged.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(n))
-    keep = (F.col("_kind") == "positive") | ((F.col("_kind") == "hard") & (F.col("_rn") <= F.col("_take"))) | ((F.col("_kind") == "easy") & (F.col("_rn") <= F.col("_n") - F.col("_take")))
-    return picked.where(keep).drop("_kind", "_rn", "_n", "_take")
+    most = F.when(F.col("_kind") == "positive", F.col("_n")).when(F.col("_kind") == "hard", F.col("_take")).otherwise(F.col("_n") - F.col("_take"))
+    return least_digests(tagged.join(F.broadcast(n)).withColumn("_most", most), ["_kind"], "_most", digest).select(*rows.columns)
 
 
 def repeat_rows(rows: DataFrame, weight: Column) -> DataFrame:

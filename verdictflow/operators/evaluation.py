@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ CONFIDENT_RIGHT, CONFIDENT_WRONG, FUNDAMENTALS = 0.90, 0.02, 12
 TRUSTED_N, TRUSTED_ACCURACY = 50, 0.90
 REVIEW_RATE, FEW, BAD_HIGH, UNCLEAR_HIGH, BAD_SOME = 0.15, 20, 0.25, 0.40, 0.10
 WARN_FEW, WARN_SHARE = 20, 0.8
+# Half the width of a quantile's bracket, and the accuracy of its ends (rank error one part in so many).
+BRACKET, RANK_ACCURACY = 0.0005, 20000
 
 
 def share(hit: Column) -> Column:
@@ -90,12 +94,34 @@ def mean_reciprocal_rank(scored: DataFrame, query: str, score: str, relevant: st
 def floor_quantiles(rows: DataFrame, by: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
     """Quantiles by floor index, without interpolation: the value at position floor(p * (n - 1)) of the sorted values.
 
-    Values are first counted, then found by running counts, so a group of any size and any ties is a few rows per distinct value."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    reach = counts.withColumn("to", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    aggs = [F.min(F.when(F.floor(F.lit(p) * (F.col("n") - 1)) < F.col("to"), F.col(value))).alias(name) for name, p in points.items()]
-    return reach.groupBy(*by).agg(F.max("n").alias("n"), *aggs)
+    A first pass brackets each point by approximate quantiles, whose rank error is bounded far below the bracket's width. A second one
+    counts the values below each bracket and the distinct values within; only the latter, a thousandth of a group, are sorted."""
+    keys = [f"_g{i}" for i in range(len(by))]
+    seen = rows.where(F.col(value).isNotNull()).select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(value).alias("_v"))
+    ends = []
+    for i, p in enumerate(points.values()):
+        low, high = p - BRACKET, p + BRACKET
+        ends.append((F.percentile_approx("_v", low, RANK_ACCURACY) if low > 0 else F.min("_v")).alias(f"_low{i}"))
+        ends.append((F.percentile_approx("_v", high, RANK_ACCURACY) if high < 1 else F.max("_v")).alias(f"_high{i}"))
+    brackets = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *ends)
+    names = brackets.columns[len(keys) :]
+    other = brackets.select(*[F.col(k).alias(f"_of{k}") for k in keys], *names)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of{k}"))
+    inside = [F.col("_v").between(F.col(f"_low{i}"), F.col(f"_high{i}")) for i in range(len(points))]
+    near = F.when(reduce(or_, inside), F.col("_v")).alias("_near")  # null: in no bracket, counted only
+    below = [F.count_if(F.col("_v") < F.col(f"_low{i}")).alias(f"_below{i}") for i in range(len(points))]
+    placed = seen.join(other if keys else F.broadcast(other), same)
+    counts = placed.groupBy(*keys, near).agg(F.count(F.lit(1)).alias("_c"), *[F.any_value(x).alias(x) for x in names], *below)
+    whole, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_near")
+    found = []
+    for i, (name, p) in enumerate(points.items()):
+        within = F.col("_near").between(F.col(f"_low{i}"), F.col(f"_high{i}"))
+        reach = F.sum(f"_below{i}").over(whole) + F.sum(F.when(within, F.col("_c")).otherwise(0)).over(upto)
+        counts = counts.withColumn(f"_reach{i}", reach)
+        found.append(F.min(F.when(within & (F.floor(F.lit(p) * (F.col("_n") - 1)) < F.col(f"_reach{i}")), F.col("_near"))).alias(name))
+    return counts.groupBy(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)]).agg(F.max("_n").alias("n"), *found)
 
 
 def last_n(rows: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
