@@ -207,11 +207,22 @@ def count_terms(docs: DataFrame, vocabulary: dict[str, int], *keys: str) -> Data
 
 
 def document_frequencies(terms: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
-    """(documents that have each term, documents) over a table of ``count_terms``; one row for each term comes to the driver."""
-    df = np.zeros(len(vocabulary), np.int64)
-    for r in terms.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
-        df[r["term"]] = r["count"]
-    return df, terms.count()
+    """(documents that have each term, documents) over a table of ``count_terms``. Each task adds up its own documents and sends one row
+    for each term it met and one, under -1, for its documents; one row for each term comes to the driver."""
+    size = len(vocabulary)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have, n = np.zeros(size, np.int64), 0
+        for batch in batches:
+            n += len(batch)
+            if len(batch):
+                have += np.bincount(np.concatenate(batch["terms"].to_list()).astype(np.int64), minlength=size)
+        found = np.flatnonzero(have)
+        yield pd.DataFrame({"term": np.append(found, -1), "n": np.append(have[found], n)})
+
+    sums = terms.select("terms").mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    by_term = {r["term"]: r["n"] for r in sums}
+    return np.array([by_term.get(i, 0) for i in range(size)], np.int64), by_term.get(-1, 0)
 
 
 def fit_toxicity(rows: list[tuple[object, str, int]], sizes: dict[int, int], frequencies: Callable[[dict[str, int]], tuple[np.ndarray, int]] | None = None) -> ToxicityModel:
