@@ -70,6 +70,15 @@ def test_quantiles_of_hot_groups_ties_and_nulls(spark):
     assert (total.n, total.m) == (len(values), values[(len(values) - 1) // 2])
 
 
+def test_quantiles_of_groups_of_every_size(spark):
+    rng = random.Random(2)
+    rows = [(n, rng.random()) for n in [*range(1, 130), 20_003] for _ in range(n)]
+    points = {"a": 0.5, "b": 0.95, "c": 0.99}
+    for r in E.floor_quantiles(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", points).collect():
+        values = sorted(v for g, v in rows if g == r.g)
+        assert [r[x] for x in points] == [values[int(p * (len(values) - 1))] for p in points.values()]
+
+
 def test_balance_of_a_hot_label(spark):
     rows = spark.range(5000).select("id", F.when(F.col("id") % 50 == 0, "few").when(F.col("id") % 50 > 1, "many").alias("label"))
     got = O.balance(rows, "label", F.sha2(F.col("id").cast("string").cast("binary"), 256))

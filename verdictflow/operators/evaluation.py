@@ -16,6 +16,8 @@ REVIEW_RATE, FEW, BAD_HIGH, UNCLEAR_HIGH, BAD_SOME = 0.15, 20, 0.25, 0.40, 0.10
 WARN_FEW, WARN_SHARE = 20, 0.8
 # Half the width of a quantile's bracket, and the accuracy of its ends (rank error one part in so many).
 BRACKET, RANK_ACCURACY = 0.0005, 20000
+# Rows of a group up to which all its values are sorted.
+FEW_TO_SORT = 10_000
 
 
 def share(hit: Column) -> Column:
@@ -101,8 +103,10 @@ def floor_quantiles(rows: DataFrame, by: Sequence[str], value: str, points: dict
     ends = []
     for i, p in enumerate(points.values()):
         low, high = p - BRACKET, p + BRACKET
-        ends.append((F.percentile_approx("_v", low, RANK_ACCURACY) if low > 0 else F.min("_v")).alias(f"_low{i}"))
-        ends.append((F.percentile_approx("_v", high, RANK_ACCURACY) if high < 1 else F.max("_v")).alias(f"_high{i}"))
+        least, most = F.min("_v"), F.max("_v")
+        few = F.count(F.lit(1)) <= FEW_TO_SORT  # a position may be off by one rank, which the bracket of a small group would not cover
+        ends.append((F.when(few, least).otherwise(F.percentile_approx("_v", low, RANK_ACCURACY)) if low > 0 else least).alias(f"_low{i}"))
+        ends.append((F.when(few, most).otherwise(F.percentile_approx("_v", high, RANK_ACCURACY)) if high < 1 else most).alias(f"_high{i}"))
     brackets = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *ends)
     names = brackets.columns[len(keys) :]
     other = brackets.select(*[F.col(k).alias(f"_of{k}") for k in keys], *names)
