@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdictflow.llm.common import fresh, materialize, release, table
+from verdictflow.llm.common import fresh, materialize, table
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Integer components beyond this have no exact distance in 64 bits.
@@ -130,13 +131,6 @@ def improved(kept: DataFrame, books: np.ndarray) -> np.ndarray:
     return out
 
 
-def train_codebooks(kept: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> np.ndarray | None:
-    books = first_codebooks(kept, parts, entries)
-    for _ in range(rounds if books is not None else 0):
-        books = improved(kept, books)
-    return books
-
-
 def codebooks_digest(books: np.ndarray) -> str:
     return hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
 
@@ -168,7 +162,7 @@ def encode_vectors(vectors: DataFrame, books: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column(2)
-            fits = pa.compute.equal(pa.compute.list_value_length(v), parts * width)
+            fits = pc.equal(pc.list_value_length(v), parts * width)
             chosen, distances = assign(matrix(v.filter(fits), parts * width), books)
             at = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
             codes, errors = np.full(len(v), None, object), np.zeros(len(v), np.int64)
