@@ -30,7 +30,7 @@ RANKS = 50
 #: Terms of a chunk, chunks of a slab, groups of a block (all on average, as they are dealt by hash).
 CHUNK, SLAB, BLOCK = 4096, 16, 32
 #: Bytes of documents that a task counts at once; kept terms up to which their table (some 50 bytes each) is broadcast.
-COUNTED_BYTES, BROADCAST_TERMS = 32 << 20, 1 << 19
+COUNTED_BYTES, BROADCAST_TERMS = 12 << 20, 1 << 19
 #: Lower-case ASCII letters and all bytes from 0x80 stay, capitals become small, everything else separates.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
