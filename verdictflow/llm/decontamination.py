@@ -1,6 +1,7 @@
 """Benchmark decontamination: a broadcast set of test n-grams, one scan of the training words, exact verification of hits.
 
-Windows are looked up by a 64-bit hash and every hit is checked word by word, so a hash collision costs time and never a result.
+Windows are looked up by a 64-bit hash and every hit is checked word by word in the words of the row, which are cut once, so a hash
+collision costs time and never a result, and time is in proportion to words and hits.
 All work is DataFrame functions. The benchmark side is broadcast only while its measured size is below ``BROADCAST_BYTES``;
 beyond that a shuffle join of slim rows (text key, place, hash) finds the places and the texts are fetched once to verify them.
 """
@@ -21,17 +22,24 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def loose_words(text: Column) -> Column:
-    """Words under full lower-casing. That never moves a word's bounds within the word class, so word positions equal the exact ones;
-    words that differ only in the case of non-ASCII letters fall together here and are told apart when hits are verified.
+#: Letters that full lower-casing changes beyond A-Z (by Java's classes, and those that its tables may not know yet), and those among them
+#: that share their small letter with another one.
+NEWER = r"\x{1C89}\x{2C2F}\x{A7C0}\x{A7CB}\x{A7CC}\x{A7D0}\x{A7D6}\x{A7D8}\x{A7DA}\x{A7DC}\x{10570}-\x{10595}\x{10D50}-\x{10D65}"
+CAPITALS = rf"[\x{{80}}-\x{{10FFFF}}&&[\p{{Lu}}\p{{Lt}}\p{{IsUppercase}}{NEWER}]]"
+SECOND = "\u212b\u2126\u03f4\u01c5\u01c8\u01cb\u01f2"
+MARK = "\ue000"
 
-    Capital sigma is the one letter whose lower case depends on its neighbours, those of other words among them; it is lowered first, so
-    equal exact words are always equal here."""
-    return F.array_remove(F.split(F.regexp_replace(F.lower(F.replace(text, F.lit("\u03a3"), F.lit("\u03c3"))), NOT_WORD, " "), " "), "")
 
+def words_of(text: Column) -> Column:
+    """The words of a text, A-Z in lower case, in a form that is equal for equal words only.
 
-def exact_words(text: Column) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(F.translate(text, UPPER, LOWER), NOT_WORD, " "), " "), "")
+    Full lower-casing is fast but changes other capitals too. Those are marked first, so that they stay apart from small letters; texts
+    without any are scanned for them once and left as they are. Capital sigma, whose small letter depends on its neighbours, is lowered
+    by itself. None of this moves a word's bounds."""
+    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(MARK + "0")), f"([{SECOND}])", f"$1{MARK}2")
+    marked = F.replace(F.regexp_replace(marked, f"({CAPITALS}(?<![{SECOND}]))", f"$1{MARK}1"), F.lit("\u03a3"), F.lit("\u03c3"))
+    told = F.when(text.rlike(f"{MARK}|{CAPITALS}"), marked).otherwise(text)
+    return F.array_remove(F.split(F.regexp_replace(F.lower(told), NOT_WORD, " "), " "), "")
 
 
 def _hash_of(words: str, at: str, n: int) -> str:
@@ -39,20 +47,14 @@ def _hash_of(words: str, at: str, n: int) -> str:
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row for each window of each item: item_id, len, words (exact), hash (of the loose words)."""
-    words = items.select(
-        F.col("item_id").cast("string").alias("item_id"), exact_words(text_or_empty()).alias("exact"), loose_words(text_or_empty()).alias("loose")
-    ).where("size(exact) > 0")
-    words = words.select("*", F.least(F.size("exact"), F.lit(window)).alias("len"))
-    rows = words.select(
-        "item_id",
-        "len",
-        F.expr("explode_outer(transform(sequence(0, size(exact) - len), i -> struct(slice(exact, i + 1, len) as words, slice(loose, i + 1, len) as loose)))").alias("w"),
-    )
+    """One row for each window of each item: item_id, len, words, hash."""
+    cut = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(text_or_empty()).alias("w")).where("size(w) > 0")
+    cut = cut.select("*", F.least(F.size("w"), F.lit(window)).alias("len"))
+    rows = cut.select("item_id", "len", F.expr("explode_outer(transform(sequence(0, size(w) - len), i -> slice(w, i + 1, len)))").alias("words"))
     chosen: Column = F.lit(None).cast("long")
     for n in range(1, window + 1):
-        chosen = F.when(F.col("len") == n, F.expr(_hash_of("w.loose", "0", n))).otherwise(chosen)
-    return rows.select("item_id", "len", F.col("w.words").alias("words"), chosen.alias("hash")).distinct()
+        chosen = F.when(F.col("len") == n, F.expr(_hash_of("words", "0", n))).otherwise(chosen)
+    return rows.select("item_id", "len", "words", chosen.alias("hash")).distinct()
 
 
 def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -65,17 +67,17 @@ def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
     lengths = facts["lengths"] or [window]  # at most ``window`` values
     distinct = windows.select("window_id", F.col("len").alias("w_len"), "words", F.col("hash").alias("w_hash")).distinct()
     same = (F.col("hash") == F.col("w_hash")) & (F.col("len") == F.col("w_len"))
-    verified = F.slice(exact_words(F.col("text")), F.col("pos") + 1, F.col("len")) == F.col("words")
+    verified = F.slice("w", F.col("pos") + 1, F.col("len")) == F.col("words")
     arrays = []
     for n in lengths:
         ahead = ", ".join([str(n), "x", *[f"get(w, i + {k})" for k in range(1, n)]])
         arrays.append(f"transform(slice(w, 1, greatest(size(w) - {n - 1}, 0)), (x, i) -> struct({n} as len, cast(i as int) as pos, xxhash64({ahead}) as hash))")
     texts = docs.select("doc_id", text_or_empty().alias("text"))
-    rows = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), "text", loose_words(F.col("text")).alias("w"))
+    rows = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), "text", words_of(F.col("text")).alias("w"))
     head = "array(struct(0 as len, -1 as pos, cast(null as bigint) as hash))"
     if facts["bytes"] <= 8 * BROADCAST_BYTES:
         # The outer form: for the inner one Spark infers a filter on the array, pushes it below ``w`` and cuts the text anew for every word.
-        scan = rows.select("doc_id", "row", "text", F.size("w").alias("n_words"), F.expr(f"inline_outer(concat({', '.join([head, *arrays])}))"))
+        scan = rows.select("doc_id", "row", "w", F.size("w").alias("n_words"), F.expr(f"inline_outer(concat({', '.join([head, *arrays])}))"))
         joined = scan.join(F.broadcast(distinct), same, "left").where((F.col("pos") < 0) | (F.col("window_id").isNotNull() & verified))
         return joined.select("row", "doc_id", "n_words", "pos", "len", "window_id"), windows.select("window_id", "item_id").distinct()
     digest = F.unhex(F.md5(F.col("text").cast("binary")))
@@ -84,7 +86,7 @@ def window_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tupl
     listed = places.groupBy("key").agg(F.collect_list(F.struct("pos", "len", "window_id", "words")).alias("p"))
     keyed = materialize(rows.select("doc_id", "row", F.size("w").alias("n_words"), digest.alias("key")), "rows")
     one = texts.select(digest.alias("key"), "text").join(listed, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("p").alias("p"))
-    hits = one.select("key", "text", F.explode("p").alias("h")).select("key", "text", "h.*").where(verified).select("key", "pos", "len", "window_id")
+    hits = one.select("key", "p", words_of(F.col("text")).alias("w")).select("key", "w", F.explode_outer("p").alias("h")).select("key", "w", "h.*").where(verified).select("key", "pos", "len", "window_id")
     of_rows = keyed.join(hits, "key").select("row", "doc_id", "n_words", "pos", "len", "window_id")
     heads = keyed.select("row", "doc_id", "n_words", F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("window_id"))
     return heads.union(of_rows), windows.select("window_id", "item_id").distinct()
