@@ -29,8 +29,9 @@ PRIOR, SCALE = 5, 1_000_000_000
 RANKS = 50
 #: Terms of a chunk, chunks of a slab, groups of a block (all on average, as they are dealt by hash).
 CHUNK, SLAB, BLOCK = 4096, 16, 32
-#: Bytes of documents that a task counts at once; kept terms up to which their table (some 50 bytes each) is broadcast.
-COUNTED_BYTES, BROADCAST_TERMS = 12 << 20, 1 << 19
+#: Bytes of documents that a task counts at once, and of counts that it packs at once; kept terms up to which their table (some 50 bytes each)
+#: is broadcast.
+COUNTED_BYTES, PACKED_BYTES, BROADCAST_TERMS = 12 << 20, 24 << 20, 1 << 19
 #: Lower-case ASCII letters and all bytes from 0x80 stay, capitals become small, everything else separates.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -78,22 +79,25 @@ def count_block(langs: pa.Array, sources: pa.Array, texts: pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays(columns, names=["lang", "term", "docs", "total", "sources", "n"])
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``size`` bytes or more, but for the last."""
+    held: list[pa.RecordBatch] = []
+    joined = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        held += [batch] if batch.num_rows else []
+        if held and sum(b.nbytes for b in held) >= size:
+            yield joined()
+            held = []
+    if held:
+        yield joined()
+
+
 def count_terms(docs: DataFrame, size: int = COUNTED_BYTES) -> DataFrame:
     """Counts by block of documents, see ``count_block``; the same term of a language has a row for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            return count_block(*(whole.column(c) for c in ("lang", "source", "text")))
-
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held += [batch] if batch.num_rows else []
-            if sum(b.nbytes for b in held) >= size:
-                yield counted()
-                held = []
-        if held:
-            yield counted()
+        for batch in gathered(batches, size):
+            yield count_block(*(batch.column(c) for c in ("lang", "source", "text")))
 
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     return texts.mapInArrow(run, "lang string, term string, docs long, total long, sources array<string>, n array<long>")
@@ -119,9 +123,7 @@ def pack_counts(counts: DataFrame, terms: DataFrame, few: int = BROADCAST_TERMS)
     schema = "lang string, source string, chunk int, at array<int>, n array<long>"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in gathered(batches, PACKED_BYTES):
             langs, lists = batch.column("lang").dictionary_encode(), batch.column("sources")
             sources = lists.flatten().dictionary_encode()
             of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
