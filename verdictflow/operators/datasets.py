@@ -124,21 +124,12 @@ def drop_questions(rows: DataFrame, leaked: DataFrame, key_of: Column) -> DataFr
 
 
 def leaks_by_text(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id) where the item's text occurs in the document's: an equi-join on inner words, then the whole texts are compared.
-
-    An item's first and last word may be parts of longer words in the document; those between are whole words of it. So the join is on
-    the item's second to fourth word, and items of fewer than five words, which have no three inner ones, are compared with all texts."""
-    words = F.split("t", " ")
-    cut = items.withColumn("w", words).select("item_id", F.col("t").alias("item"), F.array_join(F.slice("w", 2, 3), " ").alias("inner"), F.size("w").alias("n")).where("item <> ''")
-    long, short = cut.where("n >= 5"), cut.where("n < 5")
-    # The outer form: for the inner one Spark would infer a filter that splits the text anew for every window.
-    windows = docs.withColumn("w", words).select(
-        "doc_id", F.explode_outer(F.array_distinct(F.expr("transform(sequence(0, greatest(size(w) - 3, 0)), i -> array_join(slice(w, i + 1, 3), ' '))"))).alias("inner")
-    )
-    pairs = windows.join(long.select("item_id", "inner"), "inner").select("doc_id", "item_id").distinct()
-    found = pairs.join(docs.select("doc_id", "t"), "doc_id").join(long.select("item_id", "item"), "item_id").where(F.contains("t", "item")).select("doc_id", "item_id")
-    few = docs.select("doc_id", "t").join(F.broadcast(short.select("item_id", "item")), F.contains("t", "item")).select("doc_id", "item_id")
-    return found.union(few)
+    """(doc_id, item_id) where the item's text ``t`` is not empty and occurs in the document's, which is not shuffled while the items fit
+    one automaton; see ``contained``."""
+    from verdictflow.operators.containment import contained
+
+    found = contained(docs.select(F.col("doc_id").alias("ident"), F.col("t").alias("text")), items.select(F.col("item_id").alias("name"), F.col("t").alias("s")))
+    return found.select(F.col("ident").alias("doc_id"), F.col("name").alias("item_id"))
 
 
 def contradictions(rows: DataFrame, key: Sequence[str], answer: str, order: str) -> DataFrame:

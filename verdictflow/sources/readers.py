@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from verdictflow.functions.decisions import parse_options, truth_label
 from verdictflow.functions.text import squeeze
+from verdictflow.operators.containment import first_contained
 from verdictflow.operators.datasets import split_by_hash
+from verdictflow.sources.csv_records import named_cells, read_csv_records
 
 REQUIRED = ("state", "question", "answer")
 # Other names of the yes/no question type.
@@ -31,19 +33,18 @@ def read_parquet(spark: SparkSession, path: str, *columns: str) -> DataFrame:
 
 
 def read_decisions_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Decision rows of a CSV file with ``line`` (1 is the header) and ``errors``; see ``build_decisions``.
+    """Decision rows of CSV files with ``file``, ``line`` (where the record ends; the header is line 1) and ``errors``; see ``build_decisions``.
 
-    Header names are trimmed and lower-cased, a byte order mark is ignored. A missing required column is an error of the file."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    named = raw.toDF(*[c.replace("﻿", "").strip().lower() for c in raw.columns])
-    missing = [c for c in REQUIRED if c not in named.columns]
-    if missing:
-        raise ValueError(f"{path}: no column {', '.join(missing)}")
-    for c in ("type", "options", "split", "source"):
-        if c not in named.columns:
-            named = named.withColumn(c, F.lit(None).cast("string"))
-    # A multi-line CSV file is one partition, so the running number follows the file's order.
-    return build_decisions(named.withColumn("line", F.monotonically_increasing_id() + 2))
+    Header names are trimmed and lower-cased, a byte order mark is ignored. A file without a required column is one row with an error for each;
+    a record with more cells than the header has that error only. Records of blank cells are left out."""
+    return decisions_of_records(read_csv_records(spark, path))
+
+
+def decisions_of_records(records: DataFrame) -> DataFrame:
+    named = named_cells(records, REQUIRED, ("type", "options", "split", "source"))
+    out = build_decisions(named)
+    bad = F.size("flaws") > 0
+    return out.withColumns({"errors": F.when(bad, F.col("flaws")).otherwise(F.col("errors")), "label": F.when(~bad, F.col("label"))}).drop("flaws", "record")
 
 
 def question_type(c: Column) -> Column:
@@ -101,13 +102,8 @@ def read_log_lines(spark: SparkSession, path: str, fields: int = 10) -> DataFram
 
 
 def label_lines(lines: DataFrame, labels: DataFrame, text: str = "value") -> DataFrame:
-    """Lines with the first label (by ``pos``) whose key they contain. ``labels`` (key, label, pos) is a bounded list of a test set.
-
-    Keys that are words of the line are found by an equi-join; use this form for identifiers such as block ids."""
-    keys = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"[A-Za-z0-9_-]+"), 0))
-    flat = lines.withColumn("_id", F.monotonically_increasing_id())
-    hits = flat.select("_id", F.explode(keys).alias("key")).join(labels, "key").groupBy("_id").agg(F.min_by("label", "pos").alias("label"))
-    return flat.join(hits, "_id", "left").drop("_id")
+    """Lines with ``label``: that of the first key (by ``pos``) which the line contains anywhere. ``labels`` is (key, label, pos)."""
+    return first_contained(lines, text, labels)
 
 
 def read_markdown_list(spark: SparkSession, path: str) -> DataFrame:
