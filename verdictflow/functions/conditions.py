@@ -7,6 +7,7 @@ Conditions are two-valued: a comparison with a missing value is false, "not equa
 from __future__ import annotations
 
 import datetime
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -19,7 +20,15 @@ ORDER_WORDS = {"lt": "below", "lte": "at most", "gt": "above", "gte": "at least"
 KINDS = ("num", "enum", "bool", "list", "nullable", "date", "text")
 #: Languages that can state an atom of a kind and operator; anything not listed here can be stated in all four.
 LANGUAGES = frozenset({"python", "javascript", "go", "sql"})
-NARROWER = {"list": LANGUAGES - {"sql"}, "date within_days": frozenset({"python"}), "date older_than": frozenset({"python"})}
+NARROWER = {"list": LANGUAGES - {"sql"}, **{f"list {o}": frozenset({"python", "javascript"}) for o in ("contains", "not_contains")}, "date within_days": frozenset({"python"}), "date older_than": frozenset({"python"})}
+
+
+#: By language: and, or, not, the literals of truth and of nothing, a field of a record, and whether a dict is indexed by name.
+WORDS = {
+    "python": {"and": " and ", "or": " or ", "not": "not ", "true": "True", "false": "False", "none": "None", "eq": "==", "ne": "!="},
+    "javascript": {"and": " && ", "or": " || ", "not": "!", "true": "true", "false": "false", "none": "null", "eq": "===", "ne": "!=="},
+    "go": {"and": " && ", "or": " || ", "not": "!", "true": "true", "false": "false", "none": "nil", "eq": "==", "ne": "!="},
+}
 
 
 class Condition:
@@ -39,6 +48,16 @@ class Condition:
         """A two-valued SQL expression (NULL-safe), as DuckDB and Spark both read it."""
         raise NotImplementedError
 
+    def code(self, language: str) -> str:
+        """The condition as an expression of Python, JavaScript or Go over a record ``row``; the values it reads are taken to be there, as
+        those languages' comparisons are. Only for languages of ``languages()``."""
+        if language not in self.languages() or language not in WORDS:
+            raise ValueError(f"{language} cannot state this condition")
+        return self._code(language)
+
+    def _code(self, language: str) -> str:
+        raise NotImplementedError
+
     def english(self) -> str:
         raise NotImplementedError
 
@@ -137,10 +156,11 @@ class Atom(Condition):
             return f"({f} IS {'' if op == 'is_null' else 'NOT '}NULL)"
         if self.kind == "date":
             d, t = f"CAST({f} AS DATE)", f"CAST({self.today} AS DATE)"
-            inside = {"before": f"{d} < {t}", "after": f"{d} > {t}", "within_days": f"({d} - {t}) BETWEEN 0 AND {self.value}", "older_than": f"({t} - {d}) > {self.value}"}[op]
+            inside = {"before": f"{d} < {t}", "after": f"{d} > {t}", "within_days": f"{d} >= {t} AND {d} <= {t} + INTERVAL {self.value} DAY", "older_than": f"{d} < {t} - INTERVAL {self.value} DAY"}[op]
             return f"coalesce({inside}, FALSE)"
-        pattern = quoted(str(self.value).lower())
-        return f"coalesce({'contains' if op == 'contains' else 'starts_with'}(lower({f}), {pattern}), FALSE)"
+        pattern = str(self.value).lower()
+        found = f"contains(lower({f}), {quoted(pattern)})" if op == "contains" else f"left(lower({f}), {len(pattern)}) = {quoted(pattern)}"
+        return f"coalesce({found}, FALSE)"
 
     def english(self) -> str:
         name, op, v = self.field.replace("_", " "), self.op, self.value
@@ -167,6 +187,41 @@ class Atom(Condition):
             "older_than": lambda: f"{name} is more than {v} days ago",
         }[op]()
 
+    def _code(self, language: str) -> str:
+        w, op, v = WORDS[language], self.op, self.value
+        name = "".join(p.capitalize() for p in self.field.split("_")) if language == "go" else self.field
+        f = f'row["{self.field}"]' if language == "python" else f"row.{name}"
+        now = f'row["{self.today}"]' if language == "python" else f"row.{self.today.capitalize() if language == 'go' else self.today}"
+        lit = lambda x: w[str(x).lower()] if isinstance(x, bool) else json.dumps(str(x)) if isinstance(x, (str, datetime.date)) else str(x)
+        order = {"lt": "<", "lte": "<=", "gt": ">", "gte": ">=", "eq": w["eq"], "ne": w["ne"]}
+        if op == "between":
+            lo, hi, lo_in, hi_in = v
+            return f"({f} {'>=' if lo_in else '>'} {lo}{w['and']}{f} {'<=' if hi_in else '<'} {hi})"
+        if self.kind == "list":
+            if op in ("contains", "not_contains"):
+                has = f"{lit(v)} in {f}" if language == "python" else f"{f}.includes({lit(v)})"
+                return f"({has})" if op == "contains" else f"({w['not']}{has})"
+            size = f"{f}.length" if language == "javascript" else f"len({f})"
+            return f"({size} {order[op[6:]]} {v})"
+        if op in ("in", "not_in"):
+            one = {"python": f"{f} in ({''.join(lit(x) + ', ' for x in v)})", "javascript": f"[{', '.join(map(lit, v))}].includes({f})", "go": "(" + " || ".join(f"{f} == {lit(x)}" for x in v) + ")"}[language]
+            return f"({one})" if op == "in" else f"({w['not']}({one}))"
+        if self.kind == "bool":
+            return f"({f} {'is' if language == 'python' else w['eq']} {w['true' if op == 'is_true' else 'false']})"
+        if self.kind == "nullable":
+            same = {"python": ("is", "is not")}.get(language, (w["eq"], w["ne"]))
+            return f"({f} {same[0] if op == 'is_null' else same[1]} {w['none']})"
+        if self.kind == "date":
+            if op in ("before", "after"):  # ISO dates as text are in the order of days
+                return f"({f} {'<' if op == 'before' else '>'} {now})"
+            days = lambda a, b: f"(date.fromisoformat({a}) - date.fromisoformat({b})).days"
+            return f"(0 <= {days(f, now)} <= {v})" if op == "within_days" else f"({days(now, f)} > {v})"
+        if self.kind == "text" and op in ("contains", "startswith"):
+            low, want = {"python": f"{f}.lower()", "javascript": f"{f}.toLowerCase()", "go": f"strings.ToLower({f})"}[language], json.dumps(str(v).lower())
+            calls = {"python": (f"{want} in {low}", f"{low}.startswith({want})"), "javascript": (f"{low}.includes({want})", f"{low}.startsWith({want})"), "go": (f"strings.Contains({low}, {want})", f"strings.HasPrefix({low}, {want})")}
+            return f"({calls[language][op == 'startswith']})"
+        return f"({f} {order[op]} {lit(v)})"
+
     def languages(self) -> frozenset[str]:
         return NARROWER.get(f"{self.kind} {self.op}", NARROWER.get(self.kind, LANGUAGES))
 
@@ -181,6 +236,9 @@ class Not(Condition):
     def sql(self) -> str:
         return f"(NOT {self.part.sql()})"
 
+    def _code(self, language: str) -> str:
+        return f"({WORDS[language]['not']}{self.part._code(language)})"
+
     def english(self) -> str:
         return f"it is not the case that {self.part.english()}"
 
@@ -195,6 +253,9 @@ class _Many(Condition):
     def languages(self) -> frozenset[str]:
         return frozenset.intersection(LANGUAGES, *[p.languages() for p in self.parts])
 
+    def _joined(self, word: str, language: str) -> str:
+        return "(" + WORDS[language][word].join(p._code(language) for p in self.parts) + ")"
+
     def _sql(self, word: str) -> str:
         return "(" + f" {word} ".join(p.sql() for p in self.parts) + ")"
 
@@ -209,6 +270,9 @@ class All(_Many):
     def sql(self) -> str:
         return self._sql("AND")
 
+    def _code(self, language: str) -> str:
+        return self._joined("and", language)
+
     def english(self) -> str:
         return "(" + " and ".join(p.english() for p in self.parts) + ")"
 
@@ -223,6 +287,9 @@ class AnyOf(_Many):
     def sql(self) -> str:
         return self._sql("OR")
 
+    def _code(self, language: str) -> str:
+        return self._joined("or", language)
+
     def english(self) -> str:
         return "(" + " or ".join(p.english() for p in self.parts) + ")"
 

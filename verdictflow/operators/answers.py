@@ -54,8 +54,8 @@ LATENCIES = 20_000
 
 def legal_answer(kind: Column, answer: Column, options: Column) -> Column:
     """Whether an answer is one that its question allows: a truth value, one of the options, or the number of a level. Quotes around
-    it do not count; a missing answer and an unknown kind are not legal."""
-    a = F.regexp_replace(F.trim(answer), r'^"+|"+$', "")
+    it do not count, nor does white space around those; a missing answer and an unknown kind are not legal."""
+    a = F.regexp_replace(F.regexp_replace(answer, r"(?U)^\s+|\s+$", ""), r'^"+|"+$', "")
     level = a.rlike("^[0-9]+$") & (a.try_cast("int") < F.size(options))
     legal = F.when(kind == "noul", F.lower(a).isin("true", "false")).when(kind == "choice", F.array_contains(options, a)).when(kind == "score", level)
     return F.coalesce(legal, F.lit(False))
@@ -115,8 +115,13 @@ def bare_date(today: Column, date: Column, thing: Column, wording: Column) -> tu
     return state, filled, gold
 
 
-def obvious_facts(rows: DataFrame, key: Column, threshold: Column) -> DataFrame:
-    """Facts of log lines for a gate, far from every threshold: loud ones (half of the keys) and quiet ones, by digests of the key."""
+CRITICALITY = ("critical", "standard", "internal-tool")  # fixed values
+
+
+def obvious_facts(rows: DataFrame, key: Column, threshold: Column, retry_succeeded: Column | None = None) -> DataFrame:
+    """Facts of log lines for a gate, far from every threshold: loud ones (half of the keys) and quiet ones, by digests of the key.
+
+    Loud lines are of critical services and no retry of theirs succeeded; of quiet ones ``retry_succeeded`` is as given, else drawn."""
 
     def draw(name: str) -> Column:
         return F.concat(F.lit(f"{name}:"), key.cast("string"))
@@ -130,6 +135,8 @@ def obvious_facts(rows: DataFrame, key: Column, threshold: Column) -> DataFrame:
         F.when(loud, threshold * (hash_bucket(draw("errors"), 31) + 10)).otherwise(1).alias("errors_last_5m"),
         F.when(loud, hash_bucket(draw("users"), 19_501) + 500).otherwise(0).alias("users_affected"),
         F.lit(False).alias("matches_known_benign_pattern"),
+        (~loud & (hash_slot(draw("retry")) < 0.5 if retry_succeeded is None else retry_succeeded)).alias("retry_succeeded"),
+        F.when(loud, CRITICALITY[0]).otherwise(F.get(F.array(*map(F.lit, CRITICALITY)), hash_bucket(draw("criticality"), 3))).alias("service_criticality"),
     )
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdictflow.operators.datasets import fresh
+
 # Confidence of a conflict, clarity up to which a question is ambiguous, largest calibration hold-out.
 CONFLICT_CONFIDENCE, AMBIGUOUS_CLARITY, HOLDOUT_MOST = 0.9, 2, 400
 INT8_MOST = 127
@@ -27,9 +29,11 @@ def join_gold(questions: DataFrame, gold: DataFrame, keys: Sequence[str]) -> Dat
     return questions.join(gold.where("label is not null"), list(keys))
 
 
-def prefer_first(items: DataFrame, a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
-    """``items`` with the verdict of judge ``a``, else that of ``b``, and which judge gave it (null if neither)."""
-    first, second = a.select(key, F.col(value).alias("_a")), b.select(key, F.col(value).alias("_b"))
+def prefer_first(items: DataFrame, a: DataFrame, b: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
+    """``items`` with the verdict of judge ``a``, else that of ``b``, and which judge gave it (null if neither).
+
+    A judge with several rows for a key counts with the last by ``order`` (without one: with the greatest verdict), so items are not doubled."""
+    first, second = (j.groupBy(key).agg(F.max_by(value, order or value).alias(name)) for j, name in ((a, "_a"), (b, "_b")))
     joined = items.join(first, key, "left").join(second, key, "left")
     judge = F.when(F.col("_a").isNotNull(), "a").when(F.col("_b").isNotNull(), "b")
     return joined.withColumn(value, F.coalesce("_a", "_b")).withColumn("judge", judge).drop("_a", "_b")
@@ -52,7 +56,11 @@ def redraw(candidates: DataFrame, taken: DataFrame, fields: Sequence[str], n: in
 
 def calibration_holdout(rows: DataFrame, key: Column, seed: object) -> DataFrame:
     """At most ``HOLDOUT_MOST`` rows and at most a tenth of all, those with the least digests of the key."""
-    return rows.orderBy(hash_order(key, seed)).limit(min(HOLDOUT_MOST, rows.count() // 10))
+    place, most = fresh(rows, "_place", "_most")
+    size = rows.agg(F.least(F.lit(HOLDOUT_MOST), F.floor(F.count(F.lit(1)) / 10)).alias(most))
+    few = rows.withColumn(place, hash_order(key, seed)).orderBy(place).limit(HOLDOUT_MOST)
+    numbered = few.withColumn(place, F.row_number().over(Window.orderBy(place)))  # of at most HOLDOUT_MOST rows
+    return numbered.join(F.broadcast(size)).where(F.col(place) <= F.col(most)).drop(place, most)
 
 
 def shuffled(rows: DataFrame, key: Column, seed: object) -> DataFrame:

@@ -13,17 +13,34 @@ from pyspark.sql import functions as F
 from verdictflow.functions.text import hash_bucket, hash_slot
 
 
+def fresh(rows: DataFrame, *names: str) -> list[str]:
+    """The names, each changed until no column of ``rows`` has it (in any case)."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def all_of(rows: DataFrame) -> list[Column]:
+    """The columns of ``rows``, whatever their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in rows.columns]
+
+
 def keep_first(rows: DataFrame, keys: Sequence[Column], order: Sequence[Column]) -> DataFrame:
     """The first row of each key, by aggregation (no group is sorted)."""
-    columns = rows.columns
-    first = F.min_by(F.struct(*columns), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
+    first = F.min_by(F.struct(*all_of(rows)), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
     return rows.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(first.alias("_r")).select("_r.*")
 
 
 def cap_per_key(rows: DataFrame, keys: Sequence[str], n: int, order: Sequence[Column]) -> DataFrame:
     """At most ``n`` rows of each key, in order. Spark limits each task's groups before the shuffle (WindowGroupLimit)."""
+    (rn,) = fresh(rows, "_rn")
     w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    return rows.withColumn(rn, F.row_number().over(w)).where(F.col(rn) <= n).drop(rn)
 
 
 def two_caps(rows: DataFrame, message: str, template: str, per_message: int, per_template: int, order: Column) -> DataFrame:
@@ -71,29 +88,32 @@ def least_digests(rows: DataFrame, by: Sequence[str], most: str, digest: Column)
 
     Groups may hold most of the table. Rows are counted by the first four digits of the digest, which tells for each such part how many
     rows come before it; only within a part are rows numbered, so a task holds parts and never a group."""
-    cut = rows.withColumn("_group", F.to_json(F.struct(*by))).withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, 4))
-    sizes = cut.groupBy("_group", "_part").agg(F.count(F.lit(1)).alias("_size"))
-    running = F.sum("_size").over(Window.partitionBy("_group").orderBy("_part"))  # at most 65,536 parts a group
-    before = sizes.select("_group", "_part", (running - F.col("_size")).alias("_before"))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_group", "_part").orderBy("_digest"))
-    open_parts = cut.join(before, ["_group", "_part"]).where(F.col("_before") < F.col(most))
-    return open_parts.withColumn("_place", place).where(F.col("_place") <= F.col(most)).select(*rows.columns)
+    group, key, part, size, before, place = fresh(rows, "_group", "_digest", "_part", "_size", "_before", "_place")
+    of_group = F.to_json(F.struct(*[F.col(b).alias(f"k{i}") for i, b in enumerate(by)]))
+    cut = rows.withColumns({group: of_group, key: digest}).withColumn(part, F.substring(key, 1, 4))
+    sizes = cut.groupBy(group, part).agg(F.count(F.lit(1)).alias(size))
+    running = F.sum(size).over(Window.partitionBy(group).orderBy(part))  # at most 65,536 parts a group
+    earlier = sizes.select(group, part, (running - F.col(size)).alias(before))
+    number = F.col(before) + F.row_number().over(Window.partitionBy(group, part).orderBy(key))
+    open_parts = cut.join(earlier, [group, part]).where(F.col(before) < F.col(most))
+    return open_parts.withColumn(place, number).where(F.col(place) <= F.col(most)).select(*all_of(rows))
 
 
 def balance(rows: DataFrame, label: str, digest: Column) -> DataFrame:
     """Every label cut to the size of the smallest, by digests. The size is an aggregate, joined as one row."""
-    least = rows.groupBy(label).count().agg(F.min("count").alias("_least"))
-    return least_digests(rows.join(F.broadcast(least)), [label], "_least", digest).drop("_least")
+    (most,) = fresh(rows, "_least")
+    least = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias(most))
+    return least_digests(rows.join(F.broadcast(least)), [label], most, digest).drop(most)
 
 
 def stratified_negatives(rows: DataFrame, positive: Column, hard: Column, digest: Column) -> DataFrame:
     """All positives and as many negatives, by digests: half of them hard ones if there are enough, the rest easy ones."""
-    kind = F.when(positive, "positive").when(hard, "hard").otherwise("easy")
-    tagged = rows.withColumn("_kind", kind)
-    n = tagged.agg(F.count_if(F.col("_kind") == "positive").alias("_n"), F.count_if(F.col("_kind") == "hard").alias("_hard"))
-    n = n.select("_n", F.least("_hard", F.floor(F.col("_n") / 2)).alias("_take"))
-    most = F.when(F.col("_kind") == "positive", F.col("_n")).when(F.col("_kind") == "hard", F.col("_take")).otherwise(F.col("_n") - F.col("_take"))
-    return least_digests(tagged.join(F.broadcast(n)).withColumn("_most", most), ["_kind"], "_most", digest).select(*rows.columns)
+    kind, n, take, most = fresh(rows, "_kind", "_n", "_take", "_most")
+    tagged = rows.withColumn(kind, F.when(positive, "positive").when(hard, "hard").otherwise("easy"))
+    counts = tagged.agg(F.count_if(F.col(kind) == "positive").alias(n), F.count_if(F.col(kind) == "hard").alias(take))
+    counts = counts.select(n, F.least(F.col(take), F.floor(F.col(n) / 2)).alias(take))
+    quota = F.when(F.col(kind) == "positive", F.col(n)).when(F.col(kind) == "hard", F.col(take)).otherwise(F.col(n) - F.col(take))
+    return least_digests(tagged.join(F.broadcast(counts)).withColumn(most, quota), [kind], most, digest).select(*all_of(rows))
 
 
 def repeat_rows(rows: DataFrame, weight: Column) -> DataFrame:

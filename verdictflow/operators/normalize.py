@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdictflow.functions.decisions import RULE_SOURCES, gold_position, nli_label, peak_of, spread
@@ -42,9 +42,9 @@ def is_priority(source: Column) -> Column:
     return out
 
 
-def flat_pairs(rows: DataFrame, premise: Column, hypothesis: Column, label: Column, source: str) -> DataFrame:
-    """(premise, hypothesis, label, source): trimmed, English, not empty, labels held to 0, 1 and 2."""
-    out = rows.select(F.trim(premise).alias("premise"), F.trim(hypothesis).alias("hypothesis"), nli_label(label).alias("label"), F.lit(source).alias("source"))
+def flat_pairs(rows: DataFrame, premise: Column, hypothesis: Column, label: Column, source: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(premise, hypothesis, label, source) and the columns to keep: trimmed, English, not empty, labels held to 0, 1 and 2."""
+    out = rows.select(*keep, F.trim(premise).alias("premise"), F.trim(hypothesis).alias("hypothesis"), nli_label(label).alias("label"), F.lit(source).alias("source"))
     return out.where((F.col("premise") != "") & (F.col("hypothesis") != "") & F.col("label").isNotNull() & english_strict(F.col("premise")))
 
 
@@ -68,13 +68,22 @@ def pick_phrasing(key: Column, phrasings: list[str]) -> Column:
 
 
 def hard_negatives(items: DataFrame, group: str, ident: str, text: str) -> DataFrame:
-    """(ident, negative): the text of the next item of the group (by hash) with another text, or null in groups of one text.
-
-    A window of neighbours, not a self join: the items of a group are ringed by hash order of their distinct texts."""
-    from pyspark.sql import Window
-
-    texts = items.select(group, text).distinct().withColumn("_h", F.xxhash64(text))
-    w = Window.partitionBy(group).orderBy("_h", text)
-    ring = texts.withColumn("_next", F.lead(text).over(w)).withColumn("_first", F.first(text).over(w))
-    other = F.coalesce("_next", F.when(F.col("_first") != F.col(text), F.col("_first")))
-    return items.join(ring.select(group, text, other.alias("negative")), [group, text], "left").select(ident, "negative")
+    """(ident, negative): for each item another text, that of the next item of its group in the ring of the texts' digests. Where a group has
+    one text only it is the first by digest of all other texts, null if there are none. Items without a text have no negative.
+
+    No task holds a group: rings are cut into parts by the first digits of the digest, neighbours are found within parts, and a part's last
+    text is followed by the first of the next part."""
+    texts = items.select(F.col(group).alias("g"), F.col(text).alias("t")).where("t is not null").distinct().withColumn("d", F.sha2(F.col("t").cast("binary"), 256)).withColumn("p", F.substring("d", 1, 4))
+    least = F.min(F.struct("d", "t"))
+    firsts = texts.groupBy("g", "p").agg(least.alias("least"))
+    ring = Window.partitionBy("g").orderBy("p")  # at most 65,536 parts a group
+    start = F.first("least").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = firsts.select("g", "p", F.coalesce(F.lead("least").over(ring), start)["t"].alias("after"))
+    within = Window.partitionBy("g", "p").orderBy("d")
+    found = texts.withColumn("within", F.lead("t").over(within)).join(after.withColumnRenamed("g", "ag").withColumnRenamed("p", "ap"), F.col("g").eqNullSafe(F.col("ag")) & (F.col("p") == F.col("ap")))
+    found = found.select("g", "t", F.coalesce("within", "after").alias("next"))
+    two = texts.select("t", "d").distinct().orderBy("d").limit(2).agg(F.sort_array(F.collect_list(F.struct("d", "t"))).alias("two"))
+    a, b = F.get("two", F.lit(0))["t"], F.get("two", F.lit(1))["t"]
+    found = found.join(F.broadcast(two)).select("g", "t", F.when(F.col("next") != F.col("t"), F.col("next")).otherwise(F.when(a != F.col("t"), a).otherwise(b)).alias("negative"))
+    same = F.col("_g").eqNullSafe(F.col("g")) & (F.col("_t") == F.col("t"))
+    return items.select(F.col(ident), F.col(group).alias("_g"), F.col(text).alias("_t")).join(found, same, "left").select(ident, "negative")

@@ -201,12 +201,20 @@ def overlapping_pairs(intervals: DataFrame, key: str, start: str, end: str, iden
     return a.join(b, hit & once).select(F.col("a.k").alias(key), F.col("a.i").alias("first_id"), F.col("b.i").alias("second_id"))
 
 
+#: The template whose failed logins are the security team's if they come from outside and exceed the threshold, and the
+#: addresses that count as outside.
+LOGIN_TEMPLATE = "28P01"
+EXTERNAL_IPS = ("203.0.113.7", "198.51.100.23", "192.0.2.44", "203.0.113.150", "198.51.100.91")
+
+
 def triage(facts: DataFrame) -> DataFrame:
     """Log triage: noise, real, severity, page, deploy, action and team from template attributes and facts.
 
     Facts: base, noise, rate_gated, transient, failure, team, environment, service_criticality, alert_threshold_per_5m, errors_last_5m,
-    users_affected, matches_known_benign_pattern, retry_succeeded, started_after_latest_deploy."""
+    users_affected, matches_known_benign_pattern, retry_succeeded, started_after_latest_deploy; and, where logins are triaged, template and
+    source_ip. Nulls among the flags count as false."""
     c = F.col
+    facts = facts.withColumns({n: F.lit(None).cast("string") for n in ("template", "source_ip", "team") if n not in facts.columns})
     below = c("errors_last_5m") < c("alert_threshold_per_5m")
     is_noise = F.coalesce(c("noise"), F.lit(False)) | c("matches_known_benign_pattern") | (c("rate_gated") & below) | (F.coalesce(c("transient"), F.lit(False)) & c("retry_succeeded") & below)
     prod = c("environment") == "production"
@@ -216,4 +224,19 @@ def triage(facts: DataFrame) -> DataFrame:
     out = out.withColumn("page", prod & c("is_real") & ((c("severity") == 3) | ((c("severity") == 2) & (c("service_criticality") == "critical"))))
     out = out.withColumn("deploy", c("is_real") & c("started_after_latest_deploy") & F.coalesce(c("failure").isin("code_bug", "config"), F.lit(False)))
     action = F.when(~c("is_real"), "ignore").when(prod & c("deploy") & (c("severity") >= 2), "roll_back").when(c("page"), "page").otherwise("ticket")
-    return out.withColumn("action", action)
+    outside = (c("template") == LOGIN_TEMPLATE) & c("source_ip").isin(*EXTERNAL_IPS) & ~below
+    return out.withColumn("action", action).withColumn("team", F.when(F.coalesce(outside, F.lit(False)), "security").otherwise(c("team")))
+
+
+def triage_gold(triaged: DataFrame) -> DataFrame:
+    """``triaged`` with ``gold``, a map from question to label: what its template lets be asked. Noise has no team; a template without a
+    failure kind has no kind and deploy question, one that is not known to be transient or not has no retry question."""
+    c = F.col
+    text = lambda x: x.cast("string")
+    always = F.create_map(*[v for k, x in (("page", c("page")), ("real", c("is_real")), ("noise", c("is_noise")), ("action", c("action")), ("sev", c("severity"))) for v in (F.lit(k), text(x))])
+    none = F.create_map().cast("map<string,string>")
+    loud = ~F.coalesce(c("noise"), F.lit(False))
+    team = F.when(loud & c("team").isNotNull(), F.create_map(F.lit("team"), c("team"))).otherwise(none)
+    kind = F.when(loud & c("failure").isNotNull(), F.create_map(F.lit("kind"), c("failure"), F.lit("deploy"), text(c("deploy")))).otherwise(none)
+    retry = F.when(loud & c("transient").isNotNull(), F.create_map(F.lit("retry"), text(c("transient")))).otherwise(none)
+    return triaged.withColumn("gold", F.map_concat(always, team, kind, retry))

@@ -281,13 +281,28 @@ _CONDITIONS: dict[str, tuple[str, str, C.Condition]] = {
 }
 
 
+# Written by hand: what each condition means.
+_CONDITION_SQL = {
+    "cond_num": "l_quantity IS NOT NULL AND l_quantity >= 30 AND (l_discount IS NULL OR l_discount <> 0.05)",
+    "cond_between": "p_retailprice IS NOT NULL AND p_retailprice >= 1000 AND p_retailprice < 1500",
+    "cond_enum": "coalesce(o_orderstatus, '') IN ('F', 'O') AND coalesce(o_orderpriority, '') <> '1-URGENT'",
+    "cond_null": "lang IS NOT NULL OR source IS NULL",
+    "cond_bool": "coalesce(toxic, 0) <> 1 AND (quality IS NULL OR quality <> 0)",
+    "cond_text": "coalesce(c_mktsegment, '') ILIKE 'auto%' OR coalesce(c_name, '') LIKE '%9%'",
+    "cond_date_before": "coalesce(o_orderdate < TIMESTAMP '1998-01-01', false)",
+    "cond_within_days": "coalesce(o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' + INTERVAL 181 DAY, false)",
+    "cond_older_than": "coalesce(o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 365 DAY, false)",
+    "cond_tree": "(coalesce(o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 400 DAY, false) OR coalesce(o_totalprice > 200000, false)) AND coalesce(o_orderstatus, '') <> 'P'",
+}
+
+
 def _add_condition(name: str, table: str, keys: str, condition: C.Condition) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         columns = [k.strip() for k in keys.split(",")]
         return read(spark, sf_dir, table).select(*columns, condition.column().alias("holds"))
 
     run.__name__ = name
-    query(f"SELECT {keys}, {condition.sql()} AS holds FROM {table}")(run)
+    query(f"SELECT {keys}, {_CONDITION_SQL[name]} AS holds FROM {table}")(run)
 
 
 for _name, (_table, _keys, _condition) in _CONDITIONS.items():
@@ -306,7 +321,7 @@ def _add_date(name: str, condition: C.Condition) -> None:
         return read(spark, sf_dir, "orders").withColumn("today", F.expr(TODAY)).select("o_orderkey", condition.column().alias("holds"))
 
     run.__name__ = name
-    query(f"SELECT o_orderkey, {condition.sql()} AS holds FROM (SELECT *, {TODAY} AS today FROM orders)")(run)
+    query(f"SELECT o_orderkey, {_CONDITION_SQL[name]} AS holds FROM orders")(run)
 
 
 for _name, _condition in _DATES.items():
@@ -413,6 +428,31 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LOGINS_SQL = (
+    f"SELECT *, CASE event_id % 3 WHEN 0 THEN '28P01' WHEN 1 THEN '40001' END AS template, CASE event_id % 4 WHEN 0 THEN '203.0.113.7' WHEN 1 THEN '10.0.3.7' WHEN 2 THEN '198.51.100.91' END AS source_ip, "
+    f"CASE WHEN event_id % 6 < 5 THEN 'database' END AS team FROM ({_FACTS_SQL})"
+)
+
+
+@query(
+    f"WITH f AS ({_LOGINS_SQL}), {_TRIAGE_SQL}, x AS (SELECT *, CASE WHEN template = '28P01' AND source_ip IN ('203.0.113.7', '198.51.100.23', '192.0.2.44', '203.0.113.150', '198.51.100.91') AND errors_last_5m >= 10 THEN 'security' ELSE team END AS of_team FROM t) "
+    "SELECT event_id, of_team AS team, CASE WHEN NOT noise THEN of_team END AS gold_team, CASE WHEN NOT noise THEN failure END AS gold_kind, CASE WHEN NOT noise AND failure IS NOT NULL THEN CAST(deploy AS VARCHAR) END AS gold_deploy, "
+    "CASE WHEN NOT noise THEN CAST(transient AS VARCHAR) END AS gold_retry, CAST(severity AS VARCHAR) AS gold_sev FROM x"
+)
+def login_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which team gets a log line, failed logins from outside among them, and the questions that its template lets be asked."""
+    e = F.col("event_id")
+    facts = _facts(spark, sf_dir).withColumns(
+        {
+            "template": F.when(e % 3 == 0, "28P01").when(e % 3 == 1, "40001"),
+            "source_ip": F.get(F.array(*map(F.lit, ("203.0.113.7", "10.0.3.7", "198.51.100.91", None))), (e % 4).cast("int")),
+            "team": F.when(e % 6 < 5, "database"),
+        }
+    )
+    gold = R.triage_gold(R.triage(facts))
+    return gold.select("event_id", "team", *[F.try_element_at("gold", F.lit(k)).alias(f"gold_{k}") for k in ("team", "kind", "deploy", "retry", "sev")])
+
+
 @query(f"WITH f AS ({_FACTS_SQL}), {_TRIAGE_SQL} SELECT event_id, is_noise, severity, page, deploy, action FROM t")
 def log_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.triage(_facts(spark, sf_dir)).select("event_id", "is_noise", "severity", "page", "deploy", "action")
@@ -689,10 +729,10 @@ def set_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 40) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM conversations"
+    "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM conversations"
 )
 def carry_forward_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heading = F.when(F.col("role") == "user", F.substring("text", 1, 40))
+    heading = F.when(F.col("role") == "user", F.col("text"))
     return O.carry_forward(read(spark, sf_dir, "conversations"), "conv_id", "turn", heading).select("conv_id", "turn", "heading")
 
 

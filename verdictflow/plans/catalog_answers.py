@@ -10,16 +10,16 @@ from verdictflow.plans.catalog import _SLOT, BINARY_HASH, query, read
 
 _ANSWERED = (
     "SELECT l_orderkey, l_linenumber, l_linestatus, CASE l_orderkey % 4 WHEN 0 THEN 'noul' WHEN 1 THEN 'choice' WHEN 2 THEN 'score' END AS kind, "
-    "CASE l_linenumber WHEN 1 THEN ' \"True\"' WHEN 2 THEN 'no' WHEN 3 THEN '1' WHEN 4 THEN '2' WHEN 5 THEN '-1' WHEN 6 THEN NULL ELSE '\"no\" ' END AS answer FROM lineitem"
+    "CASE l_linenumber WHEN 1 THEN ' \"True\"' WHEN 2 THEN 'no' WHEN 3 THEN '1' WHEN 4 THEN '2' WHEN 5 THEN '-1' WHEN 6 THEN NULL ELSE chr(9) || '\"no\"' || chr(10) END AS answer FROM lineitem"
 )
-_LEGAL = "coalesce(CASE kind WHEN 'noul' THEN lower(trim(trim(answer), '\"')) IN ('true', 'false') WHEN 'choice' THEN trim(trim(answer), '\"') IN ('yes', 'no') WHEN 'score' THEN trim(answer) IN ('0', '1') END, false)"
+_LEGAL = "coalesce(CASE kind WHEN 'noul' THEN lower(trim(trim(answer, chr(9) || chr(10) || ' '), '\"')) IN ('true', 'false') WHEN 'choice' THEN trim(trim(answer, chr(9) || chr(10) || ' '), '\"') IN ('yes', 'no') WHEN 'score' THEN trim(answer) IN ('0', '1') END, false)"
 
 
 @query(f"SELECT l_linestatus, count(*) AS n, round(avg(CASE WHEN {_LEGAL} THEN 1.0 ELSE 0.0 END), 6) AS legal_share FROM ({_ANSWERED}) GROUP BY l_linestatus")
 def legal_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_linestatus")
     kind = F.get(F.array(*map(F.lit, ("noul", "choice", "score", None))), F.pmod("l_orderkey", F.lit(4)).cast("int"))
-    answer = F.get(F.array(*map(F.lit, (' "True"', "no", "1", "2", "-1", None, '"no" '))), F.col("l_linenumber") - 1)
+    answer = F.get(F.array(*map(F.lit, (' "True"', "no", "1", "2", "-1", None, '\t"no"\n'))), F.col("l_linenumber") - 1)
     return N.legal_share(rows, "l_linestatus", N.legal_answer(kind, answer, F.array(F.lit("yes"), F.lit("no"))))
 
 
@@ -98,7 +98,9 @@ def _draw(name: str) -> str:
 @query(
     f"WITH x AS (SELECT *, {_SLOT.format(chr(39) + 'loud:' + chr(39) + ' || CAST(p_partkey AS VARCHAR)')} < 0.5 AS loud FROM part) "
     f"SELECT p_partkey, loud, CASE WHEN loud THEN 'production' ELSE ['development', 'staging', 'production'][1 + CAST({_draw('place')} % 3 AS INT)] END AS environment, "
-    f"CASE WHEN loud THEN p_size * (10 + {_draw('errors')} % 31) ELSE 1 END AS errors_last_5m, CASE WHEN loud THEN 500 + {_draw('users')} % 19501 ELSE 0 END AS users_affected FROM x"
+    f"CASE WHEN loud THEN p_size * (10 + {_draw('errors')} % 31) ELSE 1 END AS errors_last_5m, CASE WHEN loud THEN 500 + {_draw('users')} % 19501 ELSE 0 END AS users_affected, "
+    f"NOT loud AND {_SLOT.format(chr(39) + 'retry:' + chr(39) + ' || CAST(p_partkey AS VARCHAR)')} < 0.5 AS retry_succeeded, "
+    f"CASE WHEN loud THEN 'critical' ELSE ['critical', 'standard', 'internal-tool'][1 + CAST({_draw('criticality')} % 3 AS INT)] END AS service_criticality FROM x"
 )
 def obvious_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.obvious_facts(read(spark, sf_dir, "part", "p_partkey", "p_size"), F.col("p_partkey"), F.col("p_size")).drop("p_size", "matches_known_benign_pattern")
