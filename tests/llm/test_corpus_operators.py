@@ -248,6 +248,18 @@ def test_packing(spark):
     assert all(x["sum(length)"] <= 256 and x["count(1)"] <= 2 for x in limited)
 
 
+def test_ids_by_word_are_those_of_the_text():
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.encode_special_tokens = True
+    r = random.Random(3)
+    pieces = [*"aZéßÉµªºİıΣςſʼnNg59.,;:!?'\"-_ \n\t\r\x0b\x1c\u0301\u00a0\u3000\u200d", "'s", "don't", "WORD.", "x?!", "ﬁ", "日", "Ǆ", "K", "😀", "<|endoftext|>", "the", "Straße,"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    coder = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    for s in range(0, len(texts), 500):  # later blocks meet words that are known
+        for t, ids in zip(texts[s : s + 500], coder.ids(texts[s : s + 500]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_packing_of_the_documents(spark):
     out = queries()["op13_sequence_packing"](spark, SF).toPandas()
     ordered = out.sort_values(["sequence_id", "offset"])

@@ -27,7 +27,7 @@ from verdictflow.llm.common import materialize, table
 VOCABULARY = "word_bpe_49k.json"
 TOKENS, END = 4096, 1
 #: Bounds of memory per worker: words kept between batches; longer words are not kept.
-CACHE_WORDS, CACHE_WORD_CHARS = 500_000, 48
+CACHE_WORDS, CACHE_WORD_CHARS = 1_000_000, 48
 
 
 @dataclass(frozen=True)
@@ -120,6 +120,15 @@ def best_fit(counts: Mapping[int, int], capacity: Capacity = Capacity()) -> list
     return moves
 
 
+def core_and_tail(word: str) -> tuple[str, str]:
+    """A word as two parts with the same ids, one after another: the vocabulary's rules lower-case, and end a word where punctuation follows
+    a letter."""
+    core = word.rstrip(".,;:!?")
+    if not core or not core[-1].isalpha() or core[-1] > "\u00ff":
+        core = word
+    return core.lower() if core.isascii() else core, word[len(core) :]
+
+
 class WordTokens:
     """Token ids of texts, by the library, each distinct word once. The vocabulary's rules drop white space and never join what it separates,
     so a text's ids are those of its parts between blanks, one after another."""
@@ -129,6 +138,9 @@ class WordTokens:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
     @classmethod
@@ -137,21 +149,45 @@ class WordTokens:
             cls.made[path] = cls(path)
         return cls.made[path]
 
+    def each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def together(self, words: list[str]) -> list[bytes]:
+        """As ``each`` for words of letters up to U+00FF, which are one word for the library as well: many in one text, cut after the ids that
+        end a word; one by one if their number is not that of the words."""
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(words):
+            return self.each(words)
+        packed, ends = ids.tobytes(), ends.tolist()
+        return [packed[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, words: list[str]) -> None:
+        parts = {w: core_and_tail(w) for w in words}
+        new = list({p for both in parts.values() for p in both if p not in self.known})
+        plain = [w for w in new if w.isalpha() and max(w) <= "\u00ff" and len(w) <= CACHE_WORD_CHARS]
+        taken = set(plain)
+        other = [w for w in new if w not in taken]
+        for some, code, n in ((plain, self.together, 256), (other, self.each, 4096)):
+            for s in range(0, len(some), n):
+                self.known.update(zip(some[s : s + n], code(some[s : s + n]), strict=True))
+        for w, (core, tail) in parts.items():
+            if w not in self.known:
+                self.known[w] = self.known[core] + self.known[tail]
+
     def ids(self, texts: Iterable[str]) -> list[bytes]:
         """Of each text, as little-endian unsigned 32-bit numbers."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
         new = list({w for words in split for w in words if w not in self.known})
-        for s in range(0, len(new), 4096):
-            some = new[s : s + 4096]
-            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.learn(new)
         get = self.known.__getitem__
         out = [b"".join(map(get, words)) for words in split]
         for w in new:
             if len(w) > CACHE_WORD_CHARS:
-                del self.known[w]
+                self.known.pop(w, None)
+                self.known.pop(core_and_tail(w)[0], None)
         return out
 
 
