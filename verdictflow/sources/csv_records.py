@@ -1,7 +1,8 @@
 """CSV records of many files with exact places: which file, which record, on which physical lines.
 
 A quoted cell may hold line breaks, so only reading a file from its start tells where a record is. Each file is read by one task, record by
-record; many files are many tasks. Spark reads the bytes, so any store it reads works; a file has at most 2 GB, beyond which Spark fails.
+record; many files are many tasks. Spark reads the bytes, so any store it reads works; a file has at most 2 GB, beyond which Spark fails; a file of
+no bytes is left out by it.
 """
 
 from __future__ import annotations
