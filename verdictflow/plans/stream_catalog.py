@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdictflow.plans.catalog import query
-from verdictflow.streaming import metrics
+from verdictflow.streaming import metrics, scoring
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -19,7 +19,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="verdictflow-stream-")
+    """A new folder in ``spark.checkpoint.dir``; only in local mode, where that is unset, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="verdictflow-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -36,3 +41,40 @@ def stream_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics.run_available(metrics.last_n_per_key(_events(spark, sf_dir), "event_type", "event_id", "value"), name, "update", _checkpoint(spark))
     latest = spark.table(name).groupBy("event_type").agg(F.max("seen").alias("seen"), F.max_by("last", "seen").alias("last"))
     return latest.select("event_type", "seen", F.round(F.aggregate("last", F.lit(0.0), lambda a, x: a + x), 2).alias("last_sum"))
+
+
+@query(
+    "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'v1' ELSE 'v2' END AS model_version, round(CASE WHEN event_id % 4 = 0 THEN value ELSE 2 * value + length(event_type) END, 4) AS score FROM events"
+)
+def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of four micro-batches while the model is swapped after the first, and by a version that cannot be loaded after the second."""
+    home = _checkpoint(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for k in range(4):  # files are streamed in the order in which they were written
+        events.where(F.col("event_id") % 4 == k).write.mode("append").parquet(f"{home}/events")
+    parts = spark.read.parquet(f"{home}/events").select(F.input_file_name()).distinct().count()
+    weights = {"v1": (1, 0), "v2": (2, 1), "v3": None}
+
+    def announce(version: str) -> None:
+        spark.createDataFrame([(version, weights[version] or [])], "version string, weights array<int>").write.mode("append").parquet(f"{home}/pointers/{version}")
+
+    def pointer() -> str:
+        return spark.read.option("recursiveFileLookup", "true").parquet(f"{home}/pointers").agg(F.max("version")).first()[0]
+
+    def load(version: str) -> scoring.Model:
+        scale, letters = spark.read.parquet(f"{home}/pointers/{version}").first()["weights"]
+        encode = lambda df: df.withColumn("x", F.col("value") * scale + F.length("event_type") * letters)
+        return scoring.Model(version, encode, lambda df: df.select("event_id", F.round("x", 4).alias("score")))
+
+    announce("v1")
+    done: list[int] = []
+
+    def after(number: int) -> None:
+        done.append(number)
+        if len(done) * 4 in (parts, 2 * parts):  # a quarter and half of the files
+            announce(f"v{len(done) * 4 // parts + 1}")
+
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/events")
+    models = scoring.ModelSource(pointer, load, interval=0, fallback_interval=0)
+    scoring.stream_scores(stream, models, f"{home}/scores", f"{home}/state", after).awaitTermination()
+    return spark.read.parquet(f"{home}/scores").select("event_id", "model_version", "score")
