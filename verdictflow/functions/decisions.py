@@ -15,6 +15,8 @@ QTYPES = {"choice": 0, "score": 1, "noul": 2}
 # Default temperatures by question type, verdict bounds, and how strongly a label is trusted.
 TEMPERATURES = {"choice": 1.0255, "score": 1.0340, "noul": 1.1479}
 YES, NO, SURE = 0.8, 0.2, 0.6
+# What a yes/no question asks where its criteria do not say.
+NOUL_CRITERIA = {"false": "no, the statement does not hold", "true": "yes, the statement holds"}
 RULE_PEAK, OTHER_PEAK = 0.99, 0.9
 RULE_SOURCES = ("our-cases-",)
 
@@ -102,9 +104,9 @@ def option_texts(qtype: Column, criteria: Column) -> Column:
     """What the scorer reads for each option."""
     choice = F.transform(criteria, lambda c: F.when((c["desc"] == "") | (c["desc"] == c["key"]), c["key"]).otherwise(F.concat(c["key"], F.lit(": "), c["desc"])))
     score = F.transform(criteria, lambda c, i: F.concat(F.lit("level "), i.cast("string"), F.lit(": "), F.when(c["desc"] != "", c["desc"]).otherwise(c["key"])))
-    noul = F.array(F.lit("false: no"), F.lit("true: yes"))
-    described = F.transform(criteria, lambda c: F.concat(c["key"], F.lit(": "), c["desc"]))
-    return F.when(qtype == "choice", choice).when(qtype == "score", score).otherwise(F.coalesce(described, noul))
+    given = lambda k: F.get(F.filter(criteria, lambda c: (c["key"] == k) & (c["desc"] != "")), F.lit(0))["desc"]
+    noul = F.array(*[F.concat(F.lit(f"{k}: "), F.coalesce(given(k), F.lit(text))) for k, text in NOUL_CRITERIA.items()])
+    return F.when(qtype == "choice", choice).when(qtype == "score", score).otherwise(noul)
 
 
 def question_errors(qtype: Column, criteria: Column) -> Column:
