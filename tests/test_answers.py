@@ -85,3 +85,9 @@ def test_balance_of_a_hot_label(spark):
     assert got.columns == ["id", "label"]
     assert {r.label: r["count"] for r in got.groupBy("label").count().collect()} == {"few": 100, "many": 100, None: 100}
     assert O.balance(rows.where("false"), "label", F.sha2(F.col("id").cast("string").cast("binary"), 256)).count() == 0
+
+
+def test_numbers_in_short_form(spark):
+    cases = {0.0: "0", 12.5: "12.5", 999999.0: "999999", 1e6: "1e+06", 1234567.0: "1.234567e+06", 1500000.25: "1.50000025e+06", 1e7: "1e+07", 123456789.0: "1.23456789e+08", 1.5e12: "1.5e+12"}
+    rows = spark.createDataFrame([(v,) for v in cases], "v double")
+    assert {r[0]: r[1] for r in rows.select("v", N.short_number(F.col("v"))).collect()} == cases

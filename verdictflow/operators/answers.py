@@ -190,13 +190,22 @@ def full_snapshot(log: DataFrame, order: Sequence[Column], latencies: int = LATE
     return totals.join(F.broadcast(points))
 
 
+def short_number(v: Column) -> Column:
+    """A number of at least 0 in its shortest form: whole ones without a point, from a million on as a power of ten with two digits."""
+    text = v.cast("string")
+    plain = F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(text)
+    whole = F.split_part(text, F.lit("."), F.lit(1))
+    spelt = F.regexp_replace(F.concat(F.substring(whole, 1, 1), F.lit("."), F.substring(whole, 2, 20), F.split_part(text, F.lit("."), F.lit(2))), r"\.?0+$", "")
+    power = F.concat(spelt, F.lit("e+"), F.lpad((F.length(whole) - 1).cast("string"), 2, "0"))
+    java = F.concat(F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), r"\.?0+$", ""), F.lit("e+"), F.lpad(F.split_part(text, F.lit("E"), F.lit(2)), 2, "0"))
+    return F.when(v < 1e6, plain).when(F.contains(text, F.lit("E")), java).otherwise(power)
+
+
 def series_lines(snapshot: DataFrame, prefix: str) -> DataFrame:
-    """Text exposition of a full snapshot: type and value of each series, in order. Whole numbers are written without a point."""
+    """Text exposition of a full snapshot: type and value of each series, in order; see ``short_number``."""
     cells = []
     for name, kind in SERIES:
-        v = F.col(name).cast("double")
-        number = F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(v.cast("string"))
-        cells.append(F.concat(F.lit(f"# TYPE {prefix}_{name} {kind}\n{prefix}_{name} "), number))
+        cells.append(F.concat(F.lit(f"# TYPE {prefix}_{name} {kind}\n{prefix}_{name} "), short_number(F.col(name).cast("double"))))
     return snapshot.select(F.posexplode(F.array(*cells)).alias("place", "line"))
 
 

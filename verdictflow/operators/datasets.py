@@ -77,7 +77,8 @@ def sample_per_group(rows: DataFrame, group: Sequence[str], n: int, key: Column,
 
 
 def round_robin(rows: DataFrame, source: str, template: str, n: int, order: Column) -> DataFrame:
-    """``n`` rows of each source, taken in turns from its templates."""
+    """``n`` rows of each source, taken in turns from its templates. For ``n`` up to a thousand Spark limits both numberings within each task
+    before it shuffles (WindowGroupLimit), so what meets for a source is ``n`` rows from each task."""
     turn = F.row_number().over(Window.partitionBy(source, template).orderBy(order))
     place = F.row_number().over(Window.partitionBy(source).orderBy("_turn", template))
     return rows.withColumn("_turn", turn).where(F.col("_turn") <= n).withColumn("_place", place).where(F.col("_place") <= n).drop("_turn", "_place")

@@ -53,6 +53,15 @@ def per_type_and_total(answers: DataFrame, kind: str) -> DataFrame:
     )
 
 
+#: Fixed value: the accuracy below which a training run is refused.
+LEAST_ACCURACY = 0.70
+
+
+def accuracy_gate(report: DataFrame, kind: str, least: float = LEAST_ACCURACY) -> DataFrame:
+    """The row ``total`` of ``per_type_and_total`` with ``passed``; null accuracy (no answers) does not pass."""
+    return report.where(F.col(kind) == "total").withColumn("passed", F.coalesce(F.col("accuracy") >= least, F.lit(False)))
+
+
 def calibration_table(judged: DataFrame, by: Sequence[str]) -> DataFrame:
     """n, accuracy and trust of each judge and type; unanswered rows count as wrong."""
     t = judged.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), share(F.col("verdict") == F.col("gold")).alias("accuracy"))

@@ -160,7 +160,7 @@ def full_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT CAST(place AS INT) AS place, '# TYPE engine_' || name || ' ' || CASE WHEN place < 4 THEN 'counter' ELSE 'gauge' END || chr(10) || 'engine_' || name || ' ' || CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS line FROM "
+    "SELECT CAST(place AS INT) AS place, '# TYPE engine_' || name || ' ' || CASE WHEN place < 4 THEN 'counter' ELSE 'gauge' END || chr(10) || 'engine_' || name || ' ' || CASE WHEN v >= 1e6 THEN rtrim(rtrim(substr(CAST(v AS VARCHAR), 1, 1) || '.' || replace(substr(CAST(v AS VARCHAR), 2), '.', ''), '0'), '.') || 'e+' || lpad(CAST(len(CAST(CAST(floor(v) AS BIGINT) AS VARCHAR)) - 1 AS VARCHAR), 2, '0') WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS line FROM "
     "(SELECT unnest(range(9)) AS place, unnest(['requests_total', 'request_errors_total', 'questions_total', 'input_tokens_total', 'latency_ms_avg', 'latency_ms_p50', 'latency_ms_p95', 'latency_ms_p99', 'latency_ms_max']) AS name, "
     f"unnest([requests_total, request_errors_total, questions_total, input_tokens_total, latency_ms_avg, latency_ms_p50, latency_ms_p95, latency_ms_p99, latency_ms_max]::DOUBLE[]) AS v FROM ({_SNAPSHOT}))"
 )
