@@ -32,13 +32,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from verdictflow.plans import catalog_answers, catalog_audit, catalog_families, catalog_leaks, catalog_more, catalog_sources, catalog_steps, stream_catalog  # noqa: F401
+    from verdictflow.plans import catalog_answers, catalog_audit, catalog_families, catalog_leaks, catalog_more, catalog_small, catalog_sources, catalog_steps, stream_catalog  # noqa: F401
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from verdictflow.plans import catalog_answers, catalog_audit, catalog_families, catalog_leaks, catalog_more, catalog_sources, catalog_steps, stream_catalog  # noqa: F401
+    from verdictflow.plans import catalog_answers, catalog_audit, catalog_families, catalog_leaks, catalog_more, catalog_small, catalog_sources, catalog_steps, stream_catalog  # noqa: F401
 
     return dict(_SQL)
 
