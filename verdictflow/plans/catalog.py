@@ -13,6 +13,7 @@ from verdictflow.functions import text as T
 from verdictflow.operators import datasets as O
 from verdictflow.operators import evaluation as E
 from verdictflow.operators import rules as R
+from verdictflow.operators import shaping as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -464,10 +465,7 @@ def log_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def near_miss_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases whose action changes when one fact is flipped."""
-    facts = _facts(spark, sf_dir)
-    flipped = facts.withColumn("started_after_latest_deploy", ~F.col("started_after_latest_deploy"))
-    a = R.triage(facts).select("event_id", "action")
-    return a.join(R.triage(flipped).select("event_id", F.col("action").alias("flipped")), "event_id").where("action <> flipped")
+    return S.flipped(_facts(spark, sf_dir), "started_after_latest_deploy", "action", R.triage, "event_id")
 
 
 # --- decisions ---------------------------------------------------------------------------------------------------------------
@@ -705,8 +703,7 @@ def spread_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT o_orderkey, k AS hypothesis, CASE WHEN k = o_orderpriority THEN 1 ELSE 2 END AS label FROM orders, (SELECT unnest({_PRIORITY_SQL}) AS k)")
 def mc_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.explode(F.array(*map(F.lit, _PRIORITIES))).alias("hypothesis"))
-    return rows.select("o_orderkey", "hypothesis", F.when(F.col("hypothesis") == F.col("o_orderpriority"), 1).otherwise(2).alias("label"))
+    return S.option_pairs(read(spark, sf_dir, "orders"), ["o_orderkey"], F.array(*map(F.lit, _PRIORITIES)), F.col("o_orderpriority"))
 
 
 @query("SELECT kind, count(*) AS n FROM (SELECT 'documents' AS kind FROM documents UNION ALL SELECT 'pages' FROM pages UNION ALL SELECT 'benchmark' FROM benchmark UNION ALL SELECT 'conversations' FROM conversations) GROUP BY kind")

@@ -10,6 +10,7 @@ from verdictflow.functions import text as T
 from verdictflow.operators import datasets as O
 from verdictflow.operators import domains as B
 from verdictflow.operators import normalize as N
+from verdictflow.operators import shaping as S
 from verdictflow.plans.catalog import TODAY, query, read
 
 # --- catalogs ----------------------------------------------------------------------------------------------------------------
@@ -83,21 +84,20 @@ def stage_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of two stages, each over its own share of the items, side by side."""
     rows = read(spark, sf_dir, "labels")
     a = rows.where("doc_id % 3 <> 0").select("doc_id", F.col("quality").alias("first_stage"))
-    return a.join(rows.where("doc_id % 2 = 0").select("doc_id", F.col("toxic").alias("second_stage")), "doc_id", "full_outer")
+    return S.stage_outcomes(a, rows.where("doc_id % 2 = 0").select("doc_id", F.col("toxic").alias("second_stage")), ["doc_id"], ("first_stage", "second_stage"))
 
 
 @query("SELECT d.doc_id, a.quality AS judge_a, b.toxic AS judge_b, coalesce(a.quality, b.toxic, -1) AS used FROM documents d LEFT JOIN labels a ON a.doc_id = d.doc_id LEFT JOIN (SELECT * FROM labels WHERE toxic = 1) b ON b.doc_id = d.doc_id")
 def two_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, labels = read(spark, sf_dir, "documents", "doc_id"), read(spark, sf_dir, "labels")
-    out = items.join(labels.select("doc_id", F.col("quality").alias("judge_a")), "doc_id", "left").join(labels.where("toxic = 1").select("doc_id", F.col("toxic").alias("judge_b")), "doc_id", "left")
+    out = S.two_judges(items, labels.select("doc_id", F.col("quality").alias("judge_a")), labels.where("toxic = 1").select("doc_id", F.col("toxic").alias("judge_b")), "doc_id", ("judge_a", "judge_b"))
     return out.select("doc_id", "judge_a", "judge_b", F.coalesce("judge_a", "judge_b", F.lit(-1)).alias("used"))
 
 
 @query(r"SELECT page_id, key, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(url, '[0-9]+')) AS key FROM pages) GROUP BY 1, 2")
 def extracted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers in a line, by regular expression."""
-    keys = F.explode(F.regexp_extract_all(F.col("url"), F.lit("[0-9]+"), 0))
-    return read(spark, sf_dir, "pages", "page_id", "url").select("page_id", keys.alias("key")).groupBy("page_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    return S.extracted_keys(read(spark, sf_dir, "pages", "page_id", "url"), "page_id", "url", "[0-9]+")
 
 
 @query("SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS kept FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY o_custkey")
@@ -135,9 +135,7 @@ def date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds rounded to their magnitude; the largest difference of two vectors."""
     v, i = F.col("c_acctbal"), F.col("c_custkey")
-    step = F.pow(F.lit(10.0), F.length(F.abs(v.cast("long")).cast("string")) - 2)
-    gap = F.array_max(F.zip_with(F.array(i % 3, i % 7), F.array(i % 5, F.lit(2)), lambda a, b: F.abs(a - b)))
-    return read(spark, sf_dir, "customer").select("c_custkey", (F.round(v / step) * step).alias("nice"), gap.alias("gap"))
+    return read(spark, sf_dir, "customer").select("c_custkey", S.nice(v).alias("nice"), S.largest_gap(F.array(i % 3, i % 7), F.array(i % 5, F.lit(2))).alias("gap"))
 
 
 @query(
@@ -145,8 +143,7 @@ def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.array(F.col("p_size") % 10, F.col("p_size") % 7)
-    padded = F.concat(a, F.array_repeat(F.lit(0), F.lit(4) - F.size(a)))
-    return read(spark, sf_dir, "part").select("p_partkey", padded.alias("padded"), F.array_contains(a, 3).alias("has_three"), F.sort_array(F.array_distinct(a)).alias("both"))
+    return read(spark, sf_dir, "part").select("p_partkey", S.padded(a, 4).alias("padded"), F.array_contains(a, 3).alias("has_three"), F.sort_array(F.array_distinct(a)).alias("both"))
 
 
 @query("SELECT p_partkey, [p_size, p_partkey % 10, 0] > [25, 5, 9] AS newer FROM part")
@@ -158,8 +155,7 @@ def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, CASE WHEN h < 0.2 THEN 24 WHEN h < 0.4 THEN 26 ELSE p_size END AS sampled FROM (SELECT p_partkey, p_size, CAST(CAST('0x' || substr(sha256('s' || CAST(p_partkey AS VARCHAR)), 1, 13) AS UBIGINT) AS DOUBLE) / 4503599627370496.0 AS h FROM part)")
 def boundary_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two fifths of the values one step beside a threshold (25), by hashed uniforms."""
-    h = T.hash_slot(F.concat(F.lit("s"), F.col("p_partkey").cast("string")))
-    return read(spark, sf_dir, "part").select("p_partkey", F.when(h < 0.2, 24).when(h < 0.4, 26).otherwise(F.col("p_size")).alias("sampled"))
+    return read(spark, sf_dir, "part").select("p_partkey", S.near_threshold(F.col("p_partkey"), F.col("p_size"), 25).alias("sampled"))
 
 
 @query(
@@ -170,7 +166,7 @@ def loss_and_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("c_custkey")
     p: Column = D.softmax(F.array(((i * 3) % 17).cast("double") / 4, ((i * 5) % 17).cast("double") / 4))
     first, second = F.get(p, F.lit(0)), F.get(p, F.lit(1))
-    return read(spark, sf_dir, "customer").select("c_custkey", F.round(-F.log(first), 6).alias("loss"), F.round(F.lit(1.5) * (F.log(first) - F.log(second)), 6).alias("recovered"))
+    return read(spark, sf_dir, "customer").select("c_custkey", F.round(S.cross_entropy(p, F.lit(0)), 6).alias("loss"), F.round(S.logit_gap(first, second, 1.5), 6).alias("recovered"))
 
 
 @query("SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from verdictflow.functions import renderings
+from verdictflow.operators import shaping
 from verdictflow.plans.catalog import query, read
 from verdictflow.sources import archives
 
@@ -69,3 +70,26 @@ def archive_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = read(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", line.alias("line")))).alias("x"))
     files = logs.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), packed(F.array_join(F.transform("x", lambda r: r["line"]), "\n")).alias("content"))
     return archives.labelled_log_lines(archives.archive_lines(files)).select("archive", "line", "text", "label")
+
+
+@query(
+    "WITH l AS (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, 'AKIA[A-Z0-9]+|[0-9]{3}-[0-9]{4}'))) AS key FROM documents), y AS (SELECT key, quality AS label FROM l JOIN labels USING (doc_id) WHERE quality IS NOT NULL), "
+    "s AS (SELECT key, min(label) AS label FROM y GROUP BY key HAVING min(label) = max(label)), r AS (SELECT s.key, s.label, l.doc_id, l.text, row_number() OVER (PARTITION BY s.key ORDER BY l.doc_id) AS n FROM l JOIN s ON s.key = l.key) "
+    "SELECT key, label, string_agg(text, chr(10) ORDER BY doc_id) AS lines FROM r WHERE n <= 15 GROUP BY key, label"
+)
+def labelled_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers in documents with the one quality of the documents that hold them, and their first fifteen texts."""
+    pattern = "AKIA[A-Z0-9]+|[0-9]{3}-[0-9]{4}"
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    known = docs.join(read(spark, sf_dir, "labels", "doc_id", "quality"), "doc_id")
+    keys = known.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), 0))).alias("key"), F.col("quality").alias("label"))
+    return shaping.labelled_keys(docs, "doc_id", "text", pattern, keys)
+
+
+@query(
+    "SELECT user_id, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000) AS BIGINT) AS uptime_seconds, epoch_us(max(ts)) - epoch_us(min(ts)) > 2592000000000 AS late FROM events GROUP BY user_id"
+)
+def uptime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds between the first and the last event of each user, and whether thirty days have passed."""
+    ends = read(spark, sf_dir, "events", "user_id", "ts").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return ends.select("user_id", shaping.elapsed_seconds(F.col("a"), F.col("b")).alias("uptime_seconds"), shaping.past_deadline(F.col("a"), F.col("b"), 30 * 86400).alias("late"))
