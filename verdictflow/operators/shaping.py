@@ -60,7 +60,8 @@ def padded_batches(rows: DataFrame, batch: Column, values: str, pad: object = 0)
     longest = numbered.groupBy("batch").agg(F.max(F.size(values)).alias(most))
     out = numbered.join(longest, "batch")
     mask = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col(most))), lambda i: (i <= F.size(values)).cast("int"))
-    return out.withColumns({"mask": F.slice(mask, F.lit(1), F.col(most)), values: padded(F.col(values), F.col(most), pad)}).drop(most)
+    # One after the other: within one projection the lambda would see the padded array.
+    return out.withColumn("mask", F.slice(mask, F.lit(1), F.col(most))).withColumn(values, padded(F.col(values), F.col(most), pad)).drop(most)
 
 
 def nice(value: Column) -> Column:
