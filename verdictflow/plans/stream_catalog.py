@@ -47,14 +47,16 @@ def stream_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'v1' ELSE 'v2' END AS model_version, round(CASE WHEN event_id % 4 = 0 THEN value ELSE 2 * value + length(event_type) END, 4) AS score FROM events"
 )
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of four micro-batches while the model is swapped after the first, and by a version that cannot be loaded after the second."""
+    """Scores of a running stream into which the events come in four deliveries, while the model is swapped after the first, and by a version
+    that cannot be loaded after the second. What is swapped follows the deliveries, not the number of files, which is up to Spark."""
     home = _checkpoint(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    for k in range(4):  # files are streamed in the order in which they were written
-        events.where(F.col("event_id") % 4 == k).write.mode("append").parquet(f"{home}/events")
-    parts = spark.read.parquet(f"{home}/events").select(F.input_file_name()).distinct().count()
     weights = {"v1": (1, 0), "v2": (2, 1), "v3": None}
 
+    def deliver(k: int) -> None:
+        # every row comes once, also those with negative ids and without one
+        events.where(F.pmod(F.coalesce("event_id", F.lit(1)), F.lit(4)) == k).write.mode("append").parquet(f"{home}/events")
+
     def announce(version: str) -> None:
         spark.createDataFrame([(version, weights[version] or [])], "version string, weights array<int>").write.mode("append").parquet(f"{home}/pointers/{version}")
 
@@ -63,18 +65,23 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def load(version: str) -> scoring.Model:
         scale, letters = spark.read.parquet(f"{home}/pointers/{version}").first()["weights"]
-        encode = lambda df: df.withColumn("x", F.col("value") * scale + F.length("event_type") * letters)
+        encode = lambda df: df.withColumn("x", F.col("value") * scale + (F.length("event_type") * letters if letters else 0))
         return scoring.Model(version, encode, lambda df: df.select("event_id", F.round("x", 4).alias("score")))
 
-    announce("v1")
-    done: list[int] = []
-
-    def after(number: int) -> None:
-        done.append(number)
-        if len(done) * 4 in (parts, 2 * parts):  # a quarter and half of the files
-            announce(f"v{len(done) * 4 // parts + 1}")
-
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/events")
     models = scoring.ModelSource(pointer, load, interval=0, fallback_interval=0)
-    scoring.stream_scores(stream, models, f"{home}/scores", f"{home}/state", after).awaitTermination()
+    announce("v1")
+    deliver(0)
+    stream = spark.readStream.schema(events.schema).parquet(f"{home}/events")
+    running = scoring.stream_scores(stream, models, f"{home}/scores", f"{home}/state", available_now=False)
+    try:
+        running.processAllAvailable()
+        for k, version in ((1, "v2"), (2, "v3"), (3, None)):
+            if version:
+                announce(version)
+            deliver(k)
+            running.processAllAvailable()
+    finally:
+        running.stop()
+    if set(models.failed) != {"v3"}:
+        raise RuntimeError(f"rows were scored by an older model: {models.failed}")
     return spark.read.parquet(f"{home}/scores").select("event_id", "model_version", "score")

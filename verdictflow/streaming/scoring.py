@@ -68,13 +68,16 @@ def score_batch(rows: DataFrame, models: ModelSource) -> DataFrame:
     return model.score(encoded).withColumn("model_version", F.lit(model.version))
 
 
-def stream_scores(stream: DataFrame, models: ModelSource, path: str, checkpoint: str, after: Callable[[int], None] | None = None) -> StreamingQuery:
+def stream_scores(
+    stream: DataFrame, models: ModelSource, path: str, checkpoint: str, after: Callable[[int], None] | None = None, available_now: bool = True
+) -> StreamingQuery:
     """Start scoring ``stream`` into Parquet under ``path``, a folder for each micro-batch. ``after`` is called with the id of each batch once
-    its scores are written."""
+    its scores are written. The stream ends with what is there now, or else goes on until it is stopped."""
 
     def write(batch: DataFrame, number: int) -> None:
         score_batch(batch, models).write.mode("overwrite").parquet(f"{path}/batch={number}")
         if after is not None:
             after(number)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
