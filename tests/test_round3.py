@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 
 from tests import oracle
 from verdictflow.plans import catalog
+from verdictflow.sources import csv_records
 
 
 def test_stream_scores_do_not_depend_on_files(spark, tmp_path):
@@ -25,3 +26,13 @@ def test_stream_scores_do_not_depend_on_files(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert not oracle.difference(got, oracle.connect(str(tmp_path)), catalog.oracle_sql()["stream_score"])
+
+
+def test_small_csv_files_share_batches():
+    """A frame of its own for each of many small files costs more than its rows."""
+    content = b"a,b\n1,2\n"
+    files = pa.RecordBatch.from_pydict({"file": [str(i) for i in range(3000)] + ["none"], "content": [content] * 3000 + [None]})
+    out = list(csv_records.records_in(iter([files, files.slice(0, 1)])))
+    assert [b.num_rows for b in out] == [5000, 1003]
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert rows[-4:] == [("2999", 1, 2, 2, ["a", "b"], ["1", "2"]), ("none", 0, 1, 1, [], []), ("0", 0, 1, 1, ["a", "b"], ["a", "b"]), ("0", 1, 2, 2, ["a", "b"], ["1", "2"])]

@@ -11,11 +11,13 @@ import csv
 import io
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH = 5_000
+#: Bounds of a batch of rows on their way to Spark: rows, and characters of cells.
+BATCH, BATCH_CHARS = 5_000, 8 << 20
+TYPES = {"file": pa.string(), "record": pa.int64(), "first_line": pa.int64(), "line": pa.int64(), "header": pa.list_(pa.string()), "cells": pa.list_(pa.string())}
 SCHEMA = "file string, record long, first_line long, line long, header array<string>, cells array<string>"
 
 
@@ -34,23 +36,30 @@ def records_of(content: bytes) -> Iterator[tuple[int, int, int, list[str], list[
             yield record, first, before, header, cells
 
 
+def records_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of ``batches`` of files (file, content). Small files share batches; large ones are many."""
+    held: list[tuple] = []
+    chars = 0
+
+    def full() -> pa.RecordBatch:
+        columns = zip(*held, strict=True) if held else [()] * len(TYPES)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, TYPES.values(), strict=True)], names=list(TYPES))
+
+    for batch in batches:
+        for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
+            for r in records_of(content.as_py() or b""):
+                held.append((file, *r))
+                chars += sum(map(len, r[3])) + sum(map(len, r[4]))
+                if len(held) >= BATCH or chars >= BATCH_CHARS:
+                    yield full()
+                    held, chars = [], 0
+    yield full()
+
+
 def csv_records(files: DataFrame) -> DataFrame:
     """file, record (from 1; 0 is the header), first_line, line (where it ends), header, cells for each record of ``files`` (file, content).
     An empty file has an empty header and nothing else."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, content in zip(batch["file"], batch["content"], strict=True):
-                held = []
-                for r in records_of(content or b""):
-                    held.append((file, *r))
-                    if len(held) >= BATCH:
-                        yield pd.DataFrame(held, columns=columns)
-                        held = []
-                yield pd.DataFrame(held, columns=columns)
-
-    columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    return files.select("file", F.col("content").cast("binary").alias("content")).mapInPandas(run, SCHEMA)
+    return files.select("file", F.col("content").cast("binary").alias("content")).mapInArrow(records_in, SCHEMA)
 
 
 def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
