@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tests import oracle
 from verdictflow.plans import catalog
-from verdictflow.sources import csv_records
+from verdictflow.sources import archives, csv_records
 
 
 def test_stream_scores_do_not_depend_on_files(spark, tmp_path):
@@ -36,3 +39,14 @@ def test_small_csv_files_share_batches():
     assert [b.num_rows for b in out] == [5000, 1003]
     rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
     assert rows[-4:] == [("2999", 1, 2, 2, ["a", "b"], ["1", "2"]), ("none", 0, 1, 1, [], []), ("0", 0, 1, 1, ["a", "b"], ["a", "b"]), ("0", 1, 2, 2, ["a", "b"], ["1", "2"])]
+
+
+def test_small_archives_share_batches_and_only_wanted_members_are_opened():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.log", "one\n\n two ")
+        z.writestr("x/labels.csv", "one,1\n")
+    files = pa.RecordBatch.from_pydict({"file": [str(i) for i in range(4000)], "content": [out.getvalue()] * 4000})
+    assert [b.num_rows for b in archives.lines_in(iter([files]))] == [10_000, 2_000]
+    (labels,) = archives.lines_in(iter([files]), archives.LABEL_FILE)
+    assert labels.num_rows == 4000 and labels.slice(3999).to_pylist() == [{"archive": "3999", "member": "x/labels.csv", "line": 1, "text": "one,1", "error": None}]

@@ -104,9 +104,11 @@ def contained(texts: DataFrame, strings: DataFrame, chars: int = AUTOMATON_CHARS
 def first_contained(lines: DataFrame, text: str, labels: DataFrame, name: str = "label", chars: int = AUTOMATON_CHARS) -> DataFrame:
     """``lines`` with a column ``name``: the label of the first key (by ``pos``, then key) of ``labels`` (key, label, pos) that the text
     contains, null if none does. Empty keys are in no text. While the keys fit one automaton this is a column, without a join."""
-    keys = labels.where("key <> ''").groupBy("key").agg(F.min(F.struct("pos", "label")).alias("x")).select("key", "x.pos", "x.label")
+    # Kept while it is looked at twice, as what finds the keys may be dear.
+    keys = labels.where("key <> ''").groupBy("key").agg(F.min(F.struct("pos", "label")).alias("x")).select("key", "x.pos", "x.label").persist()
     if keys.agg(F.coalesce(F.sum(F.length("key")), F.lit(0)).alias("n")).first()["n"] <= chars:
         listed = [(r["key"], r["label"]) for r in keys.orderBy("pos", "key").collect()]
+        keys.unpersist()
         kind = labels.schema["label"].dataType
         if not listed:
             return lines.withColumn(name, F.lit(None).cast(kind))
