@@ -7,9 +7,11 @@ import zipfile
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from tests import oracle
-from verdictflow.plans import catalog
+from verdictflow.operators import families
+from verdictflow.plans import catalog, catalog_families
 from verdictflow.sources import archives, csv_records
 
 
@@ -50,3 +52,16 @@ def test_small_archives_share_batches_and_only_wanted_members_are_opened():
     assert [b.num_rows for b in archives.lines_in(iter([files]))] == [10_000, 2_000]
     (labels,) = archives.lines_in(iter([files]), archives.LABEL_FILE)
     assert labels.num_rows == 4000 and labels.slice(3999).to_pylist() == [{"archive": "3999", "member": "x/labels.csv", "line": 1, "text": "one,1", "error": None}]
+
+
+def test_rules_are_worked_out_in_parts_that_the_jvm_compiles(spark):
+    """One expression with all rules makes a method beyond 8,000 bytes of code, which the JVM interprets."""
+    fields = catalog_families._FIELDS
+    lines = spark.range(50).select(F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit("N").alias("l_returnflag"), F.lit("O").alias("l_linestatus")).withColumn("k", F.expr(fields["k"]))
+    states = lines.select(*[F.expr("k" if n == "k" else e).alias(n) for n, e in fields.items()])
+    rows = families.gold_counts(states, "k")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode") >= sum(len(f.questions) for f in families.FAMILIES.values()) / families.RULES_AT_ONCE
+    assert "everyone" not in plan.split("HashAggregate")[-1]  # rows that are many carry no names
+    each = families.gold_of(states, ["k"]).groupBy("role", "family", "qid", "type", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("keys"), F.max("k").alias("last"))
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, each.collect()))

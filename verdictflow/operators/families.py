@@ -1,6 +1,6 @@
 """Families of work decisions as data: a role, questions with a rule each over the fields of a state, wordings by split.
 
-``gold_of`` compiles all questions of the chosen families to one row expression over a table of states, so a new family is an entry of the
+``gold_of`` compiles the questions of the chosen families to a few row expressions over a table of states, so a new family is an entry of the
 registry. A rule is a Spark SQL expression. A rule that cannot be told, as a field is missing, gives ``false`` for a yes/no question and no
 label for others.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +82,8 @@ agent | judge_turn | stopped_short | noul | NOT (did_what_asked AND evidence)
 agent | flaky_vs_real_ci | real | noul | fails_every_run AND reproduces AND NOT timing_dependent
 """
 FAMILIES: dict[str, Family] = {}
+#: Rules in one expression. The JVM compiles no method of more than 8,000 bytes of code; one with all rules would be interpreted.
+RULES_AT_ONCE = 12
 
 
 def register(family: Family) -> None:
@@ -123,19 +126,44 @@ def label_of(question: FamilyQuestion) -> Column:
     return F.coalesce(value, F.lit(False)).cast("string") if question.type == "noul" else value.cast("string")
 
 
-def gold_of(states: DataFrame, keep: Sequence[str], names: Sequence[str] | None = None, split: Column | None = None) -> DataFrame:
-    """The columns to keep with role, family, qid, type and label for each question of the families (all whose fields ``states`` has, if not
-    named). Where ``split`` is given, families for evaluation are not asked in training rows."""
+def asked_of(states: DataFrame, names: Sequence[str] | None = None) -> list[tuple[Family, FamilyQuestion]]:
+    """The questions of the families (all whose fields ``states`` has, if not named)."""
     has = {c.lower() for c in states.columns}
     chosen = [FAMILIES[n] for n in names] if names is not None else [f for f in FAMILIES.values() if fields_of(states, f) <= has]
+    return [(f, q) for f in chosen for q in f.questions]
+
+
+def labels_of(states: DataFrame, keep: Sequence[str], asked: Sequence[tuple[Family, FamilyQuestion]], split: Column | None = None) -> DataFrame:
+    """The columns to keep with ``asked``, the place of a question in the list, and its label, for each question that has one: rows are many, so
+    they carry a number instead of names. ``states`` is gone through once for each ``RULES_AT_ONCE`` questions."""
     train = F.lit(False) if split is None else ~split.isin("gate", "eval")
-    asked = [
-        F.when(F.lit(not f.evaluation_only) | ~train, F.struct(F.lit(f.role).alias("role"), F.lit(f.name).alias("family"), F.lit(q.qid).alias("qid"), F.lit(q.type).alias("type"), label_of(q).alias("label")))
-        for f in chosen
-        for q in f.questions
-    ]
-    flat = states.select(*keep, F.explode(F.array_compact(F.array(*asked))).alias("q"))
-    return flat.select(*keep, "q.*").where("label is not null")
+    label = lambda f, q: F.when(~train, label_of(q)) if f.evaluation_only else label_of(q)
+    parts = []
+    for k in range(0, len(asked), RULES_AT_ONCE):
+        labels = F.array(*[label(f, q) for f, q in asked[k : k + RULES_AT_ONCE]])
+        parts.append(states.select(*keep, F.posexplode(labels).alias("asked", "label")).where("label is not null").withColumn("asked", F.col("asked") + k))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def named(labels: DataFrame, asked: Sequence[tuple[Family, FamilyQuestion]]) -> DataFrame:
+    """``labels`` with role, family, qid and type of the question in the place of its number."""
+    q = F.get(F.array(*[F.struct(*map(F.lit, (f.role, f.name, q.qid, q.type))) for f, q in asked]), F.col("asked"))
+    names = [q[f"col{i}"].alias(n) for i, n in enumerate(("role", "family", "qid", "type"), 1)]
+    return labels.select(*[x for c in labels.columns for x in (names if c == "asked" else [F.col(f"`{c}`")])])
+
+
+def gold_of(states: DataFrame, keep: Sequence[str], names: Sequence[str] | None = None, split: Column | None = None) -> DataFrame:
+    """The columns to keep with role, family, qid, type and label for each question of the families (all whose fields ``states`` has, if not
+    named). Where ``split`` is given, families for evaluation are not asked in training rows."""
+    asked = asked_of(states, names)
+    return named(labels_of(states, keep, asked, split), asked)
+
+
+def gold_counts(states: DataFrame, key: str, names: Sequence[str] | None = None, split: Column | None = None) -> DataFrame:
+    """role, family, qid, type, label with n, the number of states with that answer, and sum (``keys``) and greatest (``last``) of their keys."""
+    asked = asked_of(states, names)
+    sums = (F.count(F.lit(1)).alias("n"), F.sum(key).alias("keys"), F.max(key).alias("last"))
+    return named(labels_of(states, [key], asked, split).groupBy("asked", "label").agg(*sums), asked)
 
 
 def fields_of(states: DataFrame, family: Family) -> set[str]:
