@@ -5,11 +5,13 @@ from __future__ import annotations
 import io
 import zipfile
 
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tests import oracle
+from verdictflow.llm import bpe
 from verdictflow.operators import families
 from verdictflow.plans import catalog, catalog_families
 from verdictflow.sources import archives, csv_records
@@ -65,3 +67,21 @@ def test_rules_are_worked_out_in_parts_that_the_jvm_compiles(spark):
     assert "everyone" not in plan.split("HashAggregate")[-1]  # rows that are many carry no names
     each = families.gold_of(states, ["k"]).groupBy("role", "family", "qid", "type", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("keys"), F.max("k").alias("last"))
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, each.collect()))
+
+
+def test_frequent_words_stay_in_a_full_cache(monkeypatch):
+    """A full cache was emptied, so every frequent word was replayed again."""
+    codec = bpe.Codec(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
+    plain = bpe.Codec(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 100)
+    replayed = []
+    replay = bpe.replay_merges
+    monkeypatch.setattr(bpe, "replay_merges", lambda words, ranks: replayed.extend(words) or replay(words, ranks))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for k in range(40):
+        text = "often " * 3 + " ".join(f"{letters[k % 26]}{letters[i]}{letters[(i * k) % 26]}é" for i in range(26)) + "x" * 70
+        ids, decoded = codec.run([text])[0]
+        assert decoded == text.encode() and b"".join(plain.bytes_of[int(i)] for i in ids.split()) == text.encode()
+        assert len(codec.ids) + len(codec.old_ids) <= 200
+    assert replayed.count(b" often") == 1 and replayed.count(b"often") == 1
+    assert replay([], codec.ranks) == [] and replay([b"", b"a", b"", b" the"], codec.ranks) == [[], [codec.ranks[b"a"]], [], [codec.ranks[b" the"]]]

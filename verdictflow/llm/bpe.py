@@ -3,19 +3,20 @@
 The distinct words of a block of documents form one corpus. An inverted index from merge rank to the positions where that merge
 applies, and a heap of the ranks present, replay the merges in rank order over the whole corpus at once; each merge touches its two
 neighbours only. Words are kept between blocks in a bounded cache, encoded and decoded from their ids, so frequent words are replayed and
-decoded once per worker.
+decoded once per worker; a full cache loses the words that were not met lately, not all of them.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +26,10 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bounds of memory per worker: words kept between blocks (long ones are not kept), and text characters in one block.
 CACHE_WORDS = 400_000
 CACHE_WORD_CHARS = 64
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
+
+
+SINGLE = [bytes([i]) for i in range(256)]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -42,24 +46,18 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]
     n = len(data)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes)
-    starts = ends - sizes
-    token: list[bytes | None] = [data[i : i + 1] for i in range(n)]
+    token: list[bytes | None] = list(map(SINGLE.__getitem__, data))
     right = list(range(1, n + 1))
     left = list(range(-1, n - 1))
     for e in ends[sizes > 0].tolist():
         right[e - 1] = -1
         if e < n:
             left[e] = -1
-    index: dict[int, list[int]] = {}
     get = ranks.get
-    for i in range(n - 1):
-        if right[i] >= 0 and (r := get(data[i : i + 2])) is not None:
-            if r in index:
-                index[r].append(i)
-            else:
-                index[r] = [i]
+    index = first_places(np.frombuffer(data, np.uint8), ends, ranks)
     heap = list(index)
     heapq.heapify(heap)
+    find = index.get
     while heap:
         rank = heapq.heappop(heap)
         places = index.pop(rank, None)
@@ -82,16 +80,16 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]
                 left[r] = i
                 if (q := get(merged + token[r])) is not None:
                     lower = q < rank
-                    if q in index:
-                        index[q].append(i)
+                    if (at := find(q)) is not None:
+                        at.append(i)
                     else:
                         index[q] = [i]
                         heapq.heappush(heap, q)
             p = left[i]
             if p >= 0 and (q := get(token[p] + merged)) is not None:
                 lower = lower or q < rank
-                if q in index:
-                    index[q].append(p)
+                if (at := find(q)) is not None:
+                    at.append(p)
                 else:
                     index[q] = [p]
                     heapq.heappush(heap, q)
@@ -102,14 +100,23 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]
                     index[rank] = places[k + 1 :]
                     heapq.heappush(heap, rank)
                 break
-    out = []
-    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        ids, i = [], s
-        while s < e and i >= 0:
-            ids.append(ranks[token[i]])
-            i = right[i]
-        out.append(ids)
-    return out
+    kept = np.fromiter((t is not None for t in token), bool, n)
+    ids = [ranks[t] for t in token if t is not None]
+    last_of = np.concatenate(([0], np.cumsum(kept)))[ends].tolist()
+    return [ids[a:b] for a, b in zip([0, *last_of], last_of)]
+
+
+def first_places(data: np.ndarray, ends: np.ndarray, ranks: dict[bytes, int]) -> dict[int, list[int]]:
+    """For each rank the places, ascending, where two bytes of one word are to be merged."""
+    pairs = data[:-1].astype(np.int64) << 8 | data[1:]
+    inside = np.ones(len(pairs), bool)
+    inside[ends[(ends > 0) & (ends < len(data))] - 1] = False
+    seen, which = np.unique(pairs, return_inverse=True)
+    rank = np.array([ranks.get(bytes(divmod(p, 256)), -1) for p in seen.tolist()], np.int64)[which]
+    at = np.flatnonzero(inside & (rank >= 0))
+    at = at[np.argsort(rank[at], kind="stable")]
+    found, starts = np.unique(rank[at], return_index=True)
+    return {r: x.tolist() for r, x in zip(found.tolist(), np.split(at, starts[1:]))}
 
 
 class Codec:
@@ -123,6 +130,8 @@ class Codec:
         self.pieces = regex.compile(pattern).findall
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
+        self.old_ids: dict[str, str] = {}
+        self.old_decoded: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
@@ -130,17 +139,36 @@ class Codec:
             cls.made[path, pattern] = cls(path, pattern)
         return cls.made[path, pattern]
 
+    def learn(self, pieces: set[str]) -> list[str]:
+        """Have all of ``pieces`` coded; returns those that are new. Once half of the words that may be kept are there, they become the old
+        ones, which stay as long as it takes for the next half to come and move on if they are met meanwhile."""
+        if len(self.ids) > CACHE_WORDS // 2:
+            self.old_ids, self.old_decoded, self.ids, self.decoded = self.ids, self.decoded, {}, {}
+        missing = pieces.difference(self.ids)
+        known = missing.intersection(self.old_ids)
+        for p in known:
+            self.ids[p] = self.old_ids[p]
+            self.decoded[p] = self.old_decoded[p]
+        new = list(missing - known)
+        for p, ids in zip(new, replay_merges([p.encode() for p in new], self.ranks), strict=True):
+            self.ids[p] = " ".join(map(str, ids))
+            self.decoded[p] = self.decode(ids)
+        return new
+
     def run(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """(decimal ids joined by a space, bytes decoded from the ids) of each text. A text's pieces are coded separately, so what
         its ids decode to is what the ids of its pieces do, one after another."""
+        collecting = gc.isenabled()
+        gc.disable()  # many small lists and no cycles: the collector would only go through the cache over and over
+        try:
+            return self._run(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _run(self, texts: list[str]) -> list[tuple[str, bytes]]:
         split = [self.pieces(t) for t in texts]
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-            self.decoded.clear()
-        new = list({p for pieces in split for p in pieces if p not in self.ids})
-        for p, ids in zip(new, replay_merges([p.encode() for p in new], self.ranks), strict=True):
-            self.ids[p] = " ".join(map(str, ids))
-            self.decoded[p] = self.decode(ids)
+        new = self.learn(set().union(*split))
         ids_of, decoded = self.ids.__getitem__, self.decoded.__getitem__
         out = [(" ".join(map(ids_of, pieces)), b"".join(map(decoded, pieces))) for pieces in split]
         for p in new:
@@ -174,25 +202,24 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     key = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch["text"]]
             counts, digests, back, all_ids = [], [], [], []
-            for block in blocks(texts):
+            for block in blocks(t.as_py() or "" for t in batch.column("text")):
                 for ids, decoded in codec.run(block):
                     counts.append(ids.count(" ") + 1 if ids else 0)
                     digests.append(hashlib.sha256(ids.encode()).hexdigest())
                     back.append(hashlib.sha256(decoded).hexdigest())
                     if with_ids:
                         all_ids.append([int(i) for i in ids.split()])
-            out = pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": np.array(counts, np.int64), "ids_sha256": digests, "decoded_sha256": back})
+            columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
             if with_ids:
-                out["ids"] = all_ids
-            yield out
+                columns["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(columns)
 
     schema = f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
