@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tests import oracle
 from verdictflow.llm import bpe
-from verdictflow.operators import families
+from verdictflow.operators import families, leaks
 from verdictflow.plans import catalog, catalog_families
 from verdictflow.sources import archives, csv_records
 
@@ -85,3 +85,13 @@ def test_frequent_words_stay_in_a_full_cache(monkeypatch):
         assert len(codec.ids) + len(codec.old_ids) <= 200
     assert replayed.count(b" often") == 1 and replayed.count(b"often") == 1
     assert replay([], codec.ranks) == [] and replay([b"", b"a", b"", b" the"], codec.ranks) == [[], [codec.ranks[b"a"]], [], [codec.ranks[b" the"]]]
+
+
+def test_keys_of_a_state_are_cut_once(spark):
+    """The plan parses and cuts a state once for all its keys, not once for each use."""
+    rows = spark.createDataFrame([(1, '{"b": 2, "a": 1}', "Q", "noul"), (2, None, None, None)], "id int, state string, instructions string, type string")
+    keyed = leaks.leak_keys(rows, False)
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") + plan.count("RegExpExtractAll") <= 2 and plan.count("try_parse_json") + plan.count("parseJson") <= 1
+    got = [(r["id"], r["level"]) for r in keyed.collect()]
+    assert sorted(got) == sorted([(1, "exact"), *[(1, "state")] * 4, *[(1, "masked")] * 4, (2, "exact"), (2, "state"), (2, "masked")])

@@ -86,20 +86,14 @@ def canonical_json(c: Column) -> Column:
     return F.to_json(F.try_parse_json(c))
 
 
-def canonical_state(c: Column) -> Column:
-    """Canonical JSON where the text is an object or list, else squeezed text, in lower case."""
-    parsed = F.when(F.substring(F.ltrim(c), 1, 1).isin("{", "["), canonical_json(c))
+def canonical_state(c: Column, json: Column | None = None) -> Column:
+    """Canonical JSON (``json``, where it is known) where the text is an object or list, else squeezed text, in lower case."""
+    parsed = F.when(F.substring(F.ltrim(c), 1, 1).isin("{", "["), canonical_json(c) if json is None else json)
     return F.coalesce(F.lower(parsed), squeeze(c))
 
 
-def state_sequences(c: Column) -> Column:
-    """Token sequences of a state in its own key order and in sorted key order."""
-    own = word_tokens(c)
-    return F.array_distinct(F.array(own, F.coalesce(word_tokens(canonical_json(c)), own)))
-
-
-def question_key(state: Column, question: Column) -> Column:
-    return F.sha2(F.concat(canonical_state(state), F.lit("||"), squeeze(question)).cast("binary"), 256)
+def question_key(state: Column, question: Column, json: Column | None = None) -> Column:
+    return F.sha2(F.concat(canonical_state(state, json), F.lit("||"), squeeze(question)).cast("binary"), 256)
 
 
 def hash_slot(key: Column) -> Column:

@@ -11,33 +11,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdictflow.functions.text import mask_numbers, question_key, state_sequences
+from verdictflow.functions.text import canonical_json, mask_numbers, question_key, word_tokens
 
 LEVELS = ("exact", "state", "masked")
 ANY = "*"
 
 
-def sequence_keys(state: Column, types: Column, masked: bool) -> Column:
-    """A key for each token sequence of the state with each of the types."""
-    joined = F.transform(state_sequences(state), lambda s: F.array_join(s, " "))
-    joined = F.array_distinct(F.transform(joined, mask_numbers) if masked else joined)
-    return F.flatten(F.transform(joined, lambda s: F.transform(types, lambda t: F.sha2(F.concat(s, F.lit("||"), t).cast("binary"), 256))))
+def sequence_keys(sequences: Column, types: Column) -> Column:
+    """A key for each token sequence with each of the types."""
+    return F.flatten(F.transform(sequences, lambda s: F.transform(types, lambda t: F.sha2(F.concat(s, F.lit("||"), t).cast("binary"), 256))))
 
 
 def leak_keys(questions: DataFrame, test: bool) -> DataFrame:
     """``questions`` (state, instructions, type and others) with a row for each of their keys: level, key. Null states and instructions
     count as empty."""
-    state, instructions = (F.coalesce(F.col(c), F.lit("")) for c in ("state", "instructions"))
     own = F.coalesce(F.col("type"), F.lit(ANY))
     types = F.array(own) if test else F.array_distinct(F.array(own, F.lit(ANY)))
     level = lambda name, keys: F.transform(keys, lambda k: F.struct(F.lit(name).alias("level"), k.alias("key")))
-    keys = F.concat(
-        level("exact", F.array(question_key(state, instructions))),
-        level("state", sequence_keys(state, types, False)),
-        level("masked", sequence_keys(state, types, True)),
-    )
     others = [c for c in questions.columns if c not in ("state", "instructions", "type")]
-    return questions.select(*others, F.explode_outer(keys).alias("k")).select(*others, "k.level", "k.key")
+    # Column by column: in one expression, and above all within a generator, Spark would parse and cut a state anew for each use.
+    state, json, tokens, ordered, plain, masked, kinds, exact, keys = (f"_leak_{n}" for n in ("state", "json", "tokens", "ordered", "plain", "masked", "types", "exact", "keys"))
+    joined = lambda c: F.array_join(word_tokens(c), " ")
+    rows = questions.select(*others, F.coalesce(F.col("state"), F.lit("")).alias(state), F.coalesce(F.col("instructions"), F.lit("")).alias("instructions"), types.alias(kinds))
+    rows = rows.withColumn(json, canonical_json(F.col(state)))
+    rows = rows.select(*others, kinds, question_key(F.col(state), F.col("instructions"), F.col(json)).alias(exact), joined(F.col(state)).alias(tokens), joined(F.col(json)).alias(ordered))
+    rows = rows.withColumn(plain, F.array_distinct(F.array(tokens, F.coalesce(ordered, tokens))))
+    rows = rows.withColumn(masked, F.array_distinct(F.transform(plain, mask_numbers)))
+    rows = rows.select(*others, F.concat(level("exact", F.array(exact)), level("state", sequence_keys(F.col(plain), F.col(kinds))), level("masked", sequence_keys(F.col(masked), F.col(kinds)))).alias(keys))
+    return rows.select(*others, F.explode_outer(keys).alias("k")).select(*others, "k.level", "k.key")
 
 
 def leaked_keys(train: DataFrame, test: DataFrame) -> DataFrame:
