@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from verdictflow.llm.bpe import encode_documents
-from verdictflow.llm.common import materialize, ship_package, table
+from verdictflow.llm.common import materialize, ship_package, small_batches, table
 from verdictflow.llm.decontamination import drop_contaminated
 from verdictflow.llm.near_dedup import keep_one_of_each
 from verdictflow.llm.quality import keep_good
@@ -35,11 +35,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are masked."""
     ship_package(spark)
+    small_batches(spark)
     return mask_secrets(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
+    small_batches(spark)
     return encode_documents(docs)
 
 
