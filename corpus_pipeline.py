@@ -42,7 +42,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     small_batches(spark)
-    return encode_documents(docs)
+    return encode_documents(docs, forget=True)
 
 
 STAGES = [

@@ -12,7 +12,7 @@ from verdictflow.llm import bpe
 
 def test_a_task_leaves_no_words_in_its_worker():
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["some words, more words", None, ""]})
-    found = bpe.encode_batches([batch, batch], public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
+    found = bpe.encode_batches([batch, batch], public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN, forget=True)
     assert next(found).column("n_tokens").to_pylist() == [5, 0, 0]
     codec = bpe.Codec.of(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
     assert codec.ids and codec.decoded

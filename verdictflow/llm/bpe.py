@@ -3,8 +3,8 @@
 The distinct words of a block of documents form one corpus. An inverted index from merge rank to the positions where that merge
 applies, and a heap of the ranks present, replay the merges in rank order over the whole corpus at once; each merge touches its two
 neighbours only. Words are kept between blocks in a bounded cache, encoded and decoded from their ids, so frequent words are replayed and
-decoded once per task; a full cache loses the words that were not met lately, not all of them. The end of a task forgets them all, as
-Spark keeps the worker for the tasks of other queries, which would carry them along.
+decoded once per worker; a full cache loses the words that were not met lately, not all of them. With ``forget`` the end of a task loses
+them all, as Spark keeps the worker for the tasks of other stages, which would carry them along.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from verdictflow.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Bounds of memory per task: words kept between blocks (long ones are not kept), and text characters in one block.
+#: Bounds of memory per worker: words kept between blocks (long ones are not kept), and text characters in one block.
 CACHE_WORDS = 400_000
 CACHE_WORD_CHARS = 64
 BLOCK_CHARS = 1_000_000
@@ -197,7 +197,7 @@ def blocks(texts: Iterable[str], chars: int = BLOCK_CHARS) -> Iterator[list[str]
         yield block
 
 
-def encode_batches(batches: Iterable[pa.RecordBatch], path: str, pattern: str, with_ids: bool = False) -> Iterator[pa.RecordBatch]:
+def encode_batches(batches: Iterable[pa.RecordBatch], path: str, pattern: str, with_ids: bool = False, forget: bool = False) -> Iterator[pa.RecordBatch]:
     """The rows of ``encode_documents`` for those of a task."""
     codec = Codec.of(path, pattern)
     try:
@@ -215,10 +215,11 @@ def encode_batches(batches: Iterable[pa.RecordBatch], path: str, pattern: str, w
                 columns["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(columns)
     finally:
-        codec.forget()
+        if forget:
+            codec.forget()
 
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False, forget: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256 and, on request, ids (array of int).
 
     * A null text counts as empty: no tokens, digests of the empty string. Empty tables give empty results.
@@ -229,7 +230,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
     key = docs.schema["doc_id"].dataType.simpleString()
 
     schema = f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: encode_batches(batches, path, pattern, with_ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: encode_batches(batches, path, pattern, with_ids, forget), schema)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
